@@ -11,7 +11,7 @@ reached or out of reach.
 Equal sets are one node, whatever the number of copies. A group of thousands of near copies would still meet
 in n*n pairs, so merging takes two rounds: each entry of a list is first tried against its neighbour and the
 head of the list (linear); pairs that these links already connect need no test for the classes, and the second
-round tries all remaining pairs, exactly. Lists within one component fall out whole.
+round tries all remaining pairs that meet on c of their short lists, exactly. Lists within one component fall out whole.
 
 Order of frequency comes from counters over all shingles of all documents in a table of fixed size; collisions
 only cost time, since any order common to all sets is right.
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import SPACED, Scratch, chunks, components, hash_words, mix, prepare, shingle_hashes
 
 #: Words of a shingle, per cent of similarity, lists beyond the necessary ones (c).
-WORDS, PERCENT, EXTRA = 5, 80, 3
+WORDS, PERCENT, EXTRA = 5, 80, 4
+#: Partners that a set meets in one task at most, about.
+FAN = 4096
 #: Counters of shingle frequency: 2**BITS in slices of 2**SLICE; bits of the filter of wanted documents.
 BITS, SLICE, FILTER_BITS = 20, 16, 23
 
@@ -195,11 +197,20 @@ def probe(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _verify(percent):
+    """Rows come by (a, salt), the set of a first, then those of its partners; one set is held at a time."""
+
     def run(batches):
+        group, hub = None, None
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [probe(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            a, b = [], []
+            for grp, salt, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(blob, np.uint64)
+                if key == grp:
+                    group, hub = (grp, salt), own
+                elif group == (grp, salt) and probe(hub, own, percent):
+                    a.append(grp)
+                    b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -233,22 +244,25 @@ def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PE
         pairs = scratch.keep(pairs.select("a", "b", "ra", "rb"), "pairs")
         bits = spark.sparkContext.broadcast(wanted_filter(pairs.select(F.col("ra").alias("id")).union(pairs.select("rb"))))
         sets = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p"), "text").mapInArrow(_sets_of(bits), "id long, key long, set binary")
-        need = pairs.select(F.col("ra").alias("id"), F.col("a").alias("key")).union(pairs.select("rb", "b")).distinct()
-        sets = scratch.keep(sets.join(need, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]), "sets")
-        left = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"))
-        right = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        out = scratch.keep(both.mapInArrow(_verify(percent), "a long, b long"), "links")
-        scratch.drop(sets, pairs)
+        # A set with many partners is dealt out with FAN of them at a time.
+        fan = pairs.groupBy("a").agg((F.count("*") / FAN).cast("int").alias("fan"))
+        dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan") + 1))
+        hubs = dealt.select(F.col("ra").alias("id"), F.col("a").alias("key"), F.col("a").alias("grp"), "salt").distinct()
+        need = hubs.union(dealt.select("rb", "b", "a", "salt"))
+        met = sets.join(need, ["id", "key"]).select("grp", "salt", "key", "set")
+        met = met.repartition("grp", "salt").sortWithinPartitions("grp", "salt", (F.col("key") != F.col("grp")))
+        out = scratch.keep(met.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+        scratch.drop(pairs)
         return out
 
     def near(n, m):
         return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
     # First round: neighbours and heads of lists.
-    tries = lists.where("prev <> key").where(near("n", "prev_n")).select(F.col("prev").alias("x"), F.col("key").alias("y"))
-    heads = lists.where("head <> key and head <> coalesce(prev, head)").where(near("n", "head_n")).select(F.col("head").alias("x"), F.col("key").alias("y"))
-    tries = tries.union(heads).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tries = lists.where("prev <> key").where(near("n", "prev_n")).select(F.col("prev").alias("x"), F.col("key").alias("y"), F.least("c", "prev_c").alias("c"))
+    heads = lists.where("head <> key and head <> coalesce(prev, head)").where(near("n", "head_n")).select(F.col("head").alias("x"), F.col("key").alias("y"), F.least("c", "head_c").alias("c"))
+    tries = tries.union(heads).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), F.min("c").alias("c")).where("met >= c").select("a", "b")
+    tries = scratch.keep(tries, "tries")
     links = tested(tries)
     comp = scratch.keep(components(scratch, links), "comp")
 
