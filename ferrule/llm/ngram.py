@@ -32,6 +32,8 @@ from ferrule.llm.common import SPACED, Scratch, chunks, components, hash_words,
 
 #: Words of a shingle, per cent of similarity, lists beyond the necessary ones (c).
 WORDS, PERCENT, EXTRA = 5, 80, 4
+#: First round: from this part of its short lists shared on, a set is tried with so many of its partners at least.
+COPIED, OFTEN = 0.4, 48
 #: Partners that a set meets in one task at most, about.
 FAN = 4096
 #: Counters of shingle frequency: 2**BITS in slices of 2**SLICE; bits of the filter of wanted documents.
@@ -229,11 +231,12 @@ def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PE
     reps = scratch.keep(reps, "reps")
 
     entries = docs.select("text").mapInArrow(_short_lists(levels, percent, extra), "token long, key long, n int, c int")
-    by_size = Window.partitionBy("token").orderBy("n", "key")
+    # Each list has an order of its own, so that a set of a large group meets other neighbours in every list.
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("token", "key"), "key")
     lists = entries.withColumns({
-        "prev": F.lag("key").over(by_size), "prev_n": F.lag("n").over(by_size), "prev_c": F.lag("c").over(by_size),
-        "next": F.lead("key").over(by_size),
-        "head": F.first("key").over(by_size), "head_n": F.first("n").over(by_size), "head_c": F.first("c").over(by_size),
+        "prev": F.lag("key").over(by_hash), "prev_n": F.lag("n").over(by_hash), "prev_c": F.lag("c").over(by_hash),
+        "next": F.lead("key").over(by_hash),
+        "head": F.first("key").over(by_hash), "head_n": F.first("n").over(by_hash), "head_c": F.first("c").over(by_hash),
     }).where("prev is not null or next is not null")
     lists = scratch.keep(lists.where("coalesce(prev <> key, true) or coalesce(next <> key, true)"), "lists")
 
@@ -261,7 +264,14 @@ def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PE
     # First round: neighbours and heads of lists.
     tries = lists.where("prev <> key").where(near("n", "prev_n")).select(F.col("prev").alias("x"), F.col("key").alias("y"), F.least("c", "prev_c").alias("c"))
     heads = lists.where("head <> key and head <> coalesce(prev, head)").where(near("n", "head_n")).select(F.col("head").alias("x"), F.col("key").alias("y"), F.least("c", "head_c").alias("c"))
-    tries = tries.union(heads).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), F.min("c").alias("c")).where("met >= c").select("a", "b")
+    tries = tries.union(heads).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), F.min("c").alias("c"))
+    # Partners met on c lists; and of sets that share a good part of their lists, the few partners met most often.
+    tries = scratch.keep(tries, "met")
+    part = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("c")
+    copied = lists.groupBy("key").agg((F.count("*") / F.first(part)).alias("part")).where(f"part >= {COPIED}").select("key")
+    ways = tries.select(F.col("a").alias("key"), "a", "b", "met").union(tries.select("b", "a", "b", "met")).join(copied, "key", "left_semi")
+    often = ways.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("a", "b")))).where(f"r <= {OFTEN}").select("a", "b")
+    tries = tries.where("met >= c").select("a", "b").union(often).distinct()
     tries = scratch.keep(tries, "tries")
     links = tested(tries)
     comp = scratch.keep(components(scratch, links), "comp")
