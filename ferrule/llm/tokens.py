@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import Scratch, prepare
 
 END_ID, SHARD_BYTES, MEMO = 1, 4 << 20, 1_000_000
-#: Sample the dictionary is trained on (documents, by smallest hash of the id) and its size.
+#: Documents, about, that the dictionary is trained on (by hash of the id; at most twice as many) and its size.
 SAMPLE, DICTIONARY_BYTES, LEVEL = 2000, 64 << 10, 3
 SHARD_SCHEMA = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, dictionary_sha256 string, index binary, body binary"
 
@@ -235,7 +235,8 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
         scratch.at_exit()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = scratch.keep(docs.mapInArrow(_encode(path, split), "doc_id long, narrow binary, wide binary"), "ids")
-    sample = ids.select("narrow", F.xxhash64("doc_id").alias("h")).where(F.octet_length("narrow").between(1, 20_000)).orderBy("h").limit(SAMPLE).collect()
+    share = int(1_000_000 * min(1, SAMPLE / max(1, ids.count())))
+    sample = ids.select("narrow", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h")).where(F.col("h") <= share).where(F.octet_length("narrow").between(1, 20_000)).orderBy("h", "narrow").limit(2 * SAMPLE).collect()
     dictionary = train([np.frombuffer(r.narrow, "<u2").astype("<u4").tobytes() for r in sample] or [b"\0" * 64])
     row = spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "bytes binary, sha256 string")
     row.coalesce(1).write.parquet(f"{root}/dictionary")
