@@ -72,7 +72,7 @@ def templates(spark: SparkSession, root: str) -> DataFrame:
     """Ext/Template.xml, and Ext/Template.bin where there is no such XML; owner from the path, the rest from the descriptor."""
     xml = tree(spark, root, "*.xml")
     files = xml.where(F.col("rel").rlike(r"(^|/)Ext/Template\.xml$")).withColumn("bin", F.lit(False))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "Template.bin").load(root).select("path")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "Template.bin").load(root).select(F.col("_metadata.file_path").alias("path"))
     path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     binary = raw.select(path.alias("file_path")).withColumn("rel", F.substr("file_path", F.length(F.lit(root.rstrip("/").removeprefix("file://"))) + 2)).where(F.col("rel").rlike(r"(^|/)Ext/Template\.bin$"))
 
