@@ -99,7 +99,8 @@ _MAIL = re.compile(
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_any(_PLUS)})\s+|\+\s*)?\(?{_NUMBER}(?:(?:[\s,.()-]{{1,3}}|\s+(?:{_dot_word})\s+|\s*{_OPEN}\s*(?:{_dot_word}|\.)\s*{_CLOSE}\s*){_NUMBER})+(?!\w)")
 _PIECE = re.compile(rf"(?i)(?P<n>{_SPELLED})(?!\w)|(?P<p>{_any(_PLUS)})\s+|(?P<d>\s*{_OPEN}?\s*(?:{_dot_word})\s*{_CLOSE}?\s*|{_OPEN}\.{_CLOSE})|(?P<x>[0-9]+)|(?P<s>[\s,.()-]+)")
 _DOT_PIECE = re.compile(rf"(?i){_dots}")
-_TRIGGER_AT = re.compile(rf"(?i)[\s\[({{<_*-](?:{_at_word}|@)[\s\])}}>_*-][^@]{{0,80}}?(?:\.|[\s\[({{<_*-](?:{_dot_word})[\s\])}}>_*-])|@\s*[A-Za-z0-9-]+\s*[\s\[({{<_*-](?:{_dot_word}|\.)[\s\])}}>_*-]|[\])}}>]\s*@|@\s")
+_WORD = re.compile(r"[^\W\d_]+")
+_MARKED_AT = re.compile(rf"(?i){_OPEN}\s*(?:{_at_word}|@|\.)\s*{_CLOSE}|\s@|@\s|[\])}}>]@|[0-9._]\s+(?:{_at_word})\s+[A-Za-z0-9-]+\.[A-Za-z]")
 _TRIGGER_RUN = re.compile(rf"(?i)(?<!\w){_SPELLED}[\s,.()-]{{1,3}}{_NUMBER}(?!\w)|(?<!\w)[0-9]+[\s,.()-]{{1,3}}{_SPELLED}(?!\w)|(?<!\w)(?:{_any(_PLUS)})\s+{_NUMBER}|[0-9]\s*{_OPEN}?\s*(?:{_dot_word})\s*{_CLOSE}?\s*[0-9]|[0-9]{_OPEN}\.{_CLOSE}[0-9]")
 _ODD = re.compile("[^\u0000-\u009f¡-¬®-ÿ]")
 
@@ -159,8 +160,13 @@ def disguised(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Finds of the normalised text, as source spans, but for those that meet one of ``taken`` of their kind."""
     odd = not text.isascii() and _ODD.search(text) is not None
     folded = text.translate(_folds) if odd else text
-    if not odd and not _TRIGGER_RUN.search(text) and not _TRIGGER_AT.search(text):
-        return []
+    if not odd:
+        # The words of a text are few; only some sets of them are worth the patterns.
+        words = set(_WORD.findall(text.lower()))
+        dots = not words.isdisjoint(_DOT)
+        mail = ("@" in text or not words.isdisjoint(_AT)) and (dots or _MARKED_AT.search(text))
+        if not mail and not ((dots or not words.isdisjoint(_DIGITS) or not words.isdisjoint(_PLUS) or "[.]" in text or "(.)" in text) and _TRIGGER_RUN.search(text)):
+            return []
     edits = _rewrites(folded, odd)
     if not edits and folded == text:
         return []
