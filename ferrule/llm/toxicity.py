@@ -6,8 +6,8 @@ over all documents. Examples and documents are unit vectors of ``(1 + log tf) *
 
 The index lists, for each term, its weights in the examples, in blocks of ``BLOCK`` examples with the largest
 weight of each block beside them. A query's sum over its terms of these maxima bounds every score of the block;
-blocks are taken from the highest bound down, and a block whose bound does not exceed the k-th score so far is
-skipped, so the k nearest are exact. Votes are weighted by cosine; the raw vote becomes a probability by a monotone
+queries go in batches, blocks from the highest sum of bounds down, and a query leaves out every block whose bound
+does not reach its k-th score so far, so the k nearest are exact. Votes are weighted by cosine; the raw vote becomes a probability by a monotone
 step function fitted on labelled rows that are not in the index.
 
 The labelled sample has about ``SAMPLE`` rows (by hash of the id; all, if there are fewer): a documented bound of
@@ -112,20 +112,22 @@ class Index:
         """Positions and cosines of the k nearest examples of each row; a cosine of 0 is no neighbour."""
         n = len(q)
         best, who = np.zeros((n, k), np.float32), np.full((n, k), -1)
-        bound = q @ self.highest
-        order = np.argsort(-bound, 1, kind="stable")
-        for turn in range(bound.shape[1]):
-            b = order[:, turn]
-            live = np.flatnonzero(bound[np.arange(n), b] >= np.maximum(best[:, -1] - 1e-6, 1e-9))
-            if not len(live):
-                break
-            for block in np.unique(b[live]):
-                rows = live[b[live] == block]
-                s = q[rows] @ self.blocks[block]
-                place = np.broadcast_to(block * BLOCK + np.arange(s.shape[1]), s.shape)
-                s, place = np.concatenate((best[rows], s), 1), np.concatenate((who[rows], place), 1)
-                top = np.lexsort((place, -s), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(place, top, 1)
+        used = np.flatnonzero(q.any(0))  # only the lists of the queries' own terms are read
+        q = np.ascontiguousarray(q[:, used])
+        bound = q @ self.highest[used]
+        for block in np.argsort(-bound.sum(0), kind="stable"):
+            rows = np.flatnonzero(bound[:, block] >= np.maximum(best[:, -1] - 1e-6, 1e-9))
+            if not len(rows):
+                continue
+            s = q[rows] @ self.blocks[block][used]
+            better = (s >= np.maximum(best[rows, -1:], 1e-9)).any(1)
+            rows, s = rows[better], s[better]
+            if not len(rows):
+                continue
+            place = np.broadcast_to(block * BLOCK + np.arange(s.shape[1]), s.shape)
+            s, place = np.concatenate((best[rows], s), 1), np.concatenate((who[rows], place), 1)
+            top = np.lexsort((place, -s), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(place, top, 1)
         who[best <= 0] = -1
         return who, best
 
@@ -216,9 +218,9 @@ def _judge(index):
             if rows:
                 r, t, c = np.concatenate(rows), np.concatenate(terms), np.concatenate(counts)
                 with_terms = np.unique(r)
-                for i in range(0, len(with_terms), 256):
-                    part = with_terms[i : i + 256]
-                    own = (r >= part[0]) & (r <= part[-1])
+                for i in range(0, len(with_terms), 128):
+                    part = with_terms[i : i + 128]
+                    own = slice(*np.searchsorted(r, [part[0], part[-1] + 1]))
                     who, cos = x.nearest(x.weigh(np.searchsorted(part, r[own]), t[own], c[own], len(part)))
                     raw[part] = x.raw(who, cos)
                     for k, d in enumerate(part):
