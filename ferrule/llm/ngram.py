@@ -9,9 +9,13 @@ them, and what is left is probed by binary search in the sorted long rest, until
 reached or out of reach.
 
 Equal sets are one node, whatever the number of copies. A group of thousands of near copies would still meet
-in n*n pairs, so merging takes two rounds: each entry of a list is first tried against its neighbour and the
-head of the list (linear); pairs that these links already connect need no test for the classes, and the second
-round tries all remaining pairs that meet on c of their short lists, exactly. Lists within one component fall out whole.
+in n*n pairs, so the work takes two rounds: each entry of a list is first tried against its neighbour and the
+head of the list (linear); pairs that these links already connect need no test for the classes. The second round
+searches all remaining pairs, exactly. A set that still shares a list with another component is open; open sets lie in
+blocks of bounded size beside the largest component they share a list with, and a block keeps whole sets. An open set goes
+as a query to every block that holds at least c of its short lists with larger components in them, never
+pair by pair; there DivideSkip divides its lists anew by their length in the block, merges the short ones (by
+counting, which sums what a heap would pop) and probes the long ones in those candidates that can still reach their overlap.
 
 Order of frequency comes from counters over all shingles of all documents in a table of fixed size; collisions
 only cost time, since any order common to all sets is right.
@@ -32,10 +36,10 @@ from ferrule.llm.common import SPACED, Scratch, chunks, components, hash_words,
 
 #: Words of a shingle, per cent of similarity, lists beyond the necessary ones (c).
 WORDS, PERCENT, EXTRA = 5, 80, 4
-#: First round: from this part of its short lists shared on, a set is tried with so many of its partners at least.
-COPIED, OFTEN = 0.4, 48
 #: Partners that a set meets in one task at most, about.
 FAN = 4096
+#: Shingles of the sets of one block, about; weight of the longest list in dividing short lists from long ones.
+BLOCK, MU = 1 << 20, 0.1
 #: Counters of shingle frequency: 2**BITS in slices of 2**SLICE; bits of the filter of wanted documents.
 BITS, SLICE, FILTER_BITS = 20, 16, 23
 
@@ -217,6 +221,86 @@ def _verify(percent):
     return run
 
 
+class Lists:
+    """Inverted lists over the whole sets of one block."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.sets, self.percent = sets, percent
+        self.n = np.array([len(x) for x in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.n)[order]
+        self.token, first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(first, len(tokens))
+
+    def search(self, own: np.ndarray, among: np.ndarray):
+        """Positions in the block, of those marked in among, whose sets are similar enough to own; likeliest first.
+        Marks that are taken away between two results count."""
+        at = np.minimum(np.searchsorted(self.token, own), len(self.token) - 1)
+        there = self.token[at] == own
+        t, known = required(len(own), self.percent), own[there]
+        if len(known) < t:
+            return
+        low = self.first[at[there]]
+        length = self.first[at[there] + 1] - low
+        order = np.argsort(length, kind="stable")
+        long = min(t - 1, int(t / (MU * np.log2(length.max() + 1) + 1)))
+        short = order[: len(order) - long]
+        size = length[short]
+        places = np.repeat(low[short] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        met = np.bincount(self.owner[places], minlength=len(self.sets))
+        need = -(-self.percent * (len(own) + self.n) // (100 + self.percent))
+        left = np.flatnonzero(among & (need <= np.minimum(len(own), self.n)) & (met + long >= need))
+        rest = known[order[len(order) - long :]]
+        for k in left[np.argsort(-met[left], kind="stable")].tolist():
+            if not among[k]:
+                continue
+            other = self.sets[k]
+            spot = np.minimum(np.searchsorted(other, rest), len(other) - 1)
+            if met[k] + int((other[spot] == rest).sum()) >= need[k]:
+                yield k
+
+
+def _search(percent):
+    """Rows come by (block, salt), the sets of the block first, then the queries, which are met one by one.
+
+    Two components that earlier links of the block join are one: no pair of theirs is tried.
+    """
+
+    def run(batches):
+        at, held, lists = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for block, salt, query, key, comp, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (block, salt):
+                    at, held, lists = (block, salt), [], None
+                own = np.frombuffer(blob, np.uint64)
+                if not query:
+                    held.append((key, comp, size, own))
+                    continue
+                if not held:
+                    continue
+                if lists is None:
+                    keys, comps, sizes, sets = zip(*held, strict=True)
+                    comps, sizes, lists = np.array(comps, np.int64), np.array(sizes, np.int64), Lists(list(sets), percent)
+                    label, above = comps.copy(), {}
+                mine = comp
+                while mine in above:
+                    mine = above[mine]
+                among = ((sizes > size) | ((sizes == size) & (comps > comp))) & (label != mine)
+                for k in lists.search(own, among):
+                    a.append(key)
+                    b.append(keys[k])
+                    other = int(label[k])
+                    above[other] = mine
+                    joined = label == other
+                    among &= ~joined
+                    label[joined] = mine
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PERCENT, extra: int = EXTRA) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (columns doc_id, text)."""
     spark: SparkSession = docs.sparkSession
@@ -240,24 +324,64 @@ def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PE
     }).where("prev is not null or next is not null")
     lists = scratch.keep(lists.where("coalesce(prev <> key, true) or coalesce(next <> key, true)"), "lists")
 
+    one = reps.where("rep is not null").groupBy("k1").agg(F.min("rep").alias("rep"))
+
+    def with_sets(need: DataFrame) -> DataFrame:
+        """Adds to need (id, key and others) the set of each row."""
+        bits = spark.sparkContext.broadcast(wanted_filter(need.select("id")))
+        sets = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p"), "text").mapInArrow(_sets_of(bits), "id long, key long, set binary")
+        return sets.join(need, ["id", "key"])
+
     def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs of keys (a, b) whose sets are similar enough, as representatives."""
-        one = reps.where("rep is not null").groupBy("k1").agg(F.min("rep").alias("rep"))
+        """The pairs of keys (a, b) whose sets are similar enough."""
         pairs = pairs.join(one.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col("k1").alias("b"), F.col("rep").alias("rb")), "b")
         pairs = scratch.keep(pairs.select("a", "b", "ra", "rb"), "pairs")
-        bits = spark.sparkContext.broadcast(wanted_filter(pairs.select(F.col("ra").alias("id")).union(pairs.select("rb"))))
-        sets = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p"), "text").mapInArrow(_sets_of(bits), "id long, key long, set binary")
         # A set with many partners is dealt out with FAN of them at a time.
         fan = pairs.groupBy("a").agg((F.count("*") / FAN).cast("int").alias("fan"))
         dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan") + 1))
         hubs = dealt.select(F.col("ra").alias("id"), F.col("a").alias("key"), F.col("a").alias("grp"), "salt").distinct()
-        need = hubs.union(dealt.select("rb", "b", "a", "salt"))
-        met = sets.join(need, ["id", "key"]).select("grp", "salt", "key", "set")
+        need = scratch.keep(hubs.union(dealt.select("rb", "b", "a", "salt")), "need")
+        met = with_sets(need).select("grp", "salt", "key", "set")
         met = met.repartition("grp", "salt").sortWithinPartitions("grp", "salt", (F.col("key") != F.col("grp")))
         out = scratch.keep(met.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
-        scratch.drop(pairs)
+        scratch.drop(pairs, need)
         return out
 
+    def searched(comp: DataFrame) -> DataFrame:
+        """Links (a, b) between components: of any two that similar sets join, directly or over others."""
+        large = comp.join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp").select(F.col("node").alias("key"), "comp", "size")
+        own = lists.select("token", "key", "n", "c").join(large, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+        own = scratch.keep(own, "own")
+        span = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("size", "comp")).alias("top")).where("lo <> hi").select("token", "top")
+        every, own = own, scratch.keep(own.join(span, "token").distinct(), "open")
+        scratch.drop(every)
+        place = own.groupBy("key").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("size").alias("size"), F.max("top").alias("home"))
+        place = scratch.keep(place, "place")
+        parts = place.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+        place = place.join(parts, "home").select("key", "comp", "size", F.xxhash64("home", F.pmod(F.xxhash64("key"), "parts")).alias("block"))
+        place = scratch.keep(place.join(one.withColumnRenamed("k1", "key"), "key"), "blocks")
+        met = own.join(place.select("key", "block"), "key").select("token", "key", "n", "c", F.struct("size", "comp").alias("mine"), "block")
+        met = scratch.keep(met, "met")
+        scratch.drop(own)
+        held = met.groupBy("token", "block").agg(F.max("mine").alias("above"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("c").alias("least_c"))
+        close = f"100 * hi >= {percent} * n and 100 * n >= {percent} * lo"
+        asks = met.drop("block").join(held, "token").where("mine < above").where(close)
+        asks = asks.groupBy("key", "block").agg(F.count("*").alias("met"), F.min(F.least("c", "least_c")).alias("least_met")).where("met >= least_met")
+        asks = scratch.keep(asks.select("key", "block"), "asks")
+        # Likewise, of a block's sets only those take part that hold enough of the lists of its queries.
+        asked = met.drop("block").join(asks, "key").groupBy("token", "block").agg(F.min("mine").alias("below"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("c").alias("least_c"))
+        takes = met.join(asked, ["token", "block"]).where("mine > below").where(close)
+        takes = takes.groupBy("key", "block").agg(F.count("*").alias("met"), F.min(F.least("c", "least_c")).alias("least_met")).where("met >= least_met").select("key")
+        # A block that many sets ask is dealt out with FAN queries at a time.
+        salts = asks.groupBy("block").agg((F.floor(F.count("*") / FAN) + 1).alias("salts"))
+        who = place.select("key", F.col("rep").alias("id"), "comp", "size")
+        kept = place.join(takes, "key").join(salts, "block").select(F.col("rep").alias("id"), "key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "comp", "size")
+        sent = asks.join(salts, "block").join(who, "key").select("id", "key", "block", F.pmod(F.xxhash64("key"), "salts").alias("salt"), F.lit(True).alias("query"), "comp", "size")
+        need = scratch.keep(kept.union(sent), "need")
+        met = with_sets(need).select("block", "salt", "query", "key", "comp", "size", "set")
+        met = met.repartition("block", "salt").sortWithinPartitions("block", "salt", "query")
+        return scratch.keep(met.mapInArrow(_search(percent), "a long, b long").distinct(), "links")
+
     def near(n, m):
         return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
@@ -265,25 +389,11 @@ def jaccard_links(docs: DataFrame, words_column: str = "text", percent: int = PE
     tries = lists.where("prev <> key").where(near("n", "prev_n")).select(F.col("prev").alias("x"), F.col("key").alias("y"), F.least("c", "prev_c").alias("c"))
     heads = lists.where("head <> key and head <> coalesce(prev, head)").where(near("n", "head_n")).select(F.col("head").alias("x"), F.col("key").alias("y"), F.least("c", "head_c").alias("c"))
     tries = tries.union(heads).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("met"), F.min("c").alias("c"))
-    # Partners met on c lists; and of sets that share a good part of their lists, the few partners met most often.
-    tries = scratch.keep(tries, "met")
-    part = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("c")
-    copied = lists.groupBy("key").agg((F.count("*") / F.first(part)).alias("part")).where(f"part >= {COPIED}").select("key")
-    ways = tries.select(F.col("a").alias("key"), "a", "b", "met").union(tries.select("b", "a", "b", "met")).join(copied, "key", "left_semi")
-    often = ways.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("a", "b")))).where(f"r <= {OFTEN}").select("a", "b")
-    tries = tries.where("met >= c").select("a", "b").union(often).distinct()
-    tries = scratch.keep(tries, "tries")
-    links = tested(tries)
+    links = tested(tries.where("met >= c").select("a", "b"))
     comp = scratch.keep(components(scratch, links), "comp")
 
-    # Second round: all pairs of a list that no link connects yet.
-    own = lists.select("token", "key", "n", "c").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    span = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    own = scratch.keep(own.join(span, "token", "left_semi"), "open")
-    x, y = own.toDF("token", "a", "na", "ca", "pa"), own.toDF("token", "b", "nb", "cb", "pb")
-    more = x.join(y, "token").where("a < b and pa <> pb").where(near("na", "nb"))
-    more = more.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("ca", "cb")).alias("least_met")).where("met >= least_met").select("a", "b")
-    links = links.union(tested(more.join(tries, ["a", "b"], "left_anti")))
+    # Second round: whatever no link connects yet.
+    links = links.union(searched(comp))
     comp = scratch.keep(components(scratch, links), "comp")
 
     # Classes of equal sets, then components; the smallest doc_id names each.

@@ -65,6 +65,39 @@ def test_ngram_large_group(spark):
     assert {x.doc_id: x.component_id for x in ngram.jaccard_links(df).collect()} == dict(enumerate(comp))
 
 
+def test_ngram_many_blocks(spark, monkeypatch):
+    """Open sets over many blocks, dealt out a few queries at a time, give the same classes."""
+    monkeypatch.setattr(ngram, "BLOCK", 1000)
+    monkeypatch.setattr(ngram, "FAN", 5)
+    r = random.Random(5)
+    base = r.choices([f"w{i}" for i in range(500)], k=80)
+    rows = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 3, 4))):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        rows += [" ".join(w)] * r.choice((1, 1, 3))
+    _, comp = brute_components(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    assert {x.doc_id: x.component_id for x in ngram.jaccard_links(df).collect()} == dict(enumerate(comp))
+
+
+def test_lists_search_is_exact():
+    g = np.random.default_rng(2)
+    base = np.unique(g.integers(0, 1 << 40, 300).astype(np.uint64))
+    sets = []
+    for k in g.integers(0, 60, 200):
+        s = base.copy()
+        s[g.choice(len(s), k, replace=False)] = g.integers(0, 1 << 40, k).astype(np.uint64)
+        sets.append(np.unique(s[: len(s) - int(g.integers(0, 40))]))
+    lists = ngram.Lists(sets)
+    among = np.ones(len(sets), bool)
+    for s in sets[:60]:
+        want = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))}
+        assert set(lists.search(s, among)) == want
+    assert not list(lists.search(np.arange(5, dtype=np.uint64), among))
+
+
 def test_probe_and_required():
     a = np.arange(0, 1000, dtype=np.uint64)
     assert ngram.probe(a, a) and not ngram.probe(a, a[:700]) and ngram.probe(a, a[:800]) and not ngram.probe(a, a[:799])
