@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,25 +17,41 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a batch of very long texts must fit in a Python worker.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+#: Rows of a few numbers (48 bytes, say) that a join may broadcast: some 50 MB.
+BROADCAST_ROWS = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that reach Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Lower the session's limits of Arrow batches to ours where they are above. They stay so: results are lazy."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = re.match(r"(\d+)b?$", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not (now and 0 < int(now[1]) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; a cluster has none that all its machines see, so there it
+    is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="ferrule-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local.setdefault(spark.sparkContext.applicationId, "")
+        if not found:
+            found = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="ferrule-")
+            atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
+#: Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one run in the shared folder. A written table cuts lineage and outlives any executor."""
 
@@ -42,8 +63,14 @@ class Scratch:
         return f"{self.root}/{self.n}-{name}"
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write df and read it back. Nothing reads the shuffle files of the write again: they go with it."""
         where = self.path(name)
-        df.write.option("compression", "zstd").parquet(where)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(where)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._ferrule_path = where
         return out
@@ -63,6 +90,54 @@ class Scratch:
         act(path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path)
 
 
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a table of a few numbers a row, to be broadcast in a join if it has at most ``rows`` rows; else it is joined by shuffle."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def row_of(docs: DataFrame) -> DataFrame:
+    """All columns of each row as one, ``row``; their names can't clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def field(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
+    """A column of the rows that ``row_of`` has packed."""
+    return batch.column("row").field(name).cast(kind)
+
+
+# ---------------------------------------------------------------- sums of arrays
+
+
+def blobs(total: np.ndarray, slice_size: int) -> Iterator[pa.RecordBatch]:
+    """An array of counts as rows (slice, counts), those of nothing but zeros left out."""
+    parts = [(k, total[i : i + slice_size]) for k, i in enumerate(range(0, len(total), slice_size))]
+    parts = [(k, zlib.compress(x.astype(np.int64).tobytes(), 1)) for k, x in parts if x.any()]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["slice", "counts"])
+
+
+def _sum_slice(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(zlib.decompress(blob), np.int64)
+            total[k] = total[k] + x if k in total else x
+    for k, x in total.items():
+        blob = zlib.compress(x.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["slice", "counts"])
+
+
+def summed(slices: DataFrame, size: int, slice_size: int) -> np.ndarray:
+    """The sum of the arrays that ``blobs`` made, slice by slice on the executors. ``size`` numbers come to the driver."""
+    total = np.zeros(size, np.int64)
+    n = -(-size // slice_size)
+    for r in slices.repartition(max(1, n), "slice").mapInArrow(_sum_slice, "slice int, counts binary").collect():
+        x = np.frombuffer(zlib.decompress(r.counts), np.int64)
+        total[r.slice * slice_size : r.slice * slice_size + len(x)] += x
+    return total
+
+
 # ---------------------------------------------------------------- words
 
 _U = np.uint64

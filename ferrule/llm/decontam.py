@@ -6,70 +6,35 @@ counts over all documents. Documents are joined on those prefix shingles alone.
 where the window can lie (positional bound), which must fit in the text (length bound); there the words are
 compared exactly, bytes and all.
 
-The index of windows is sent to the executors in blocks of at most ``block_bytes`` of item text, so that its
-size has a bound; more items mean more blocks, each against all rows.
+Items come in blocks of at most ``block_bytes`` of text, each an index of sorted arrays (some 60 bytes a word) that is
+sent to the executors; more items mean more blocks, each a pass over all rows that adds what it finds to them. Rows keep
+all their columns on the way, so a stage that drops rows needs no join.
 
 Defined results: a null or empty text has no words and is clean; items that are null, without words or without
-id never occur; an item_id on several rows counts once; repeated documents stay; a null doc_id keeps its row.
+id never occur; an item_id on several rows counts once; repeated documents stay; a null doc_id keeps its row; an empty
+table gives an empty one; further columns of documents, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ferrule.llm.common import ALNUM, chunks, hash_words, prepare, shingle_hashes
+from ferrule.llm.common import ALNUM, Scratch, chunks, field, hash_words, mix, prepare, row_of, shingle_hashes
 
 WINDOW, SHINGLE, MIN_ITEMS, BLOCK_BYTES = 8, 4, 2, 8 << 20
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-class Index:
-    """Windows of one block of items; ``prefix`` maps the rarest shingle of each to (offset, window) pairs."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        self.windows: dict[tuple[bytes, ...], int] = {}
-        self.owners: list[set[str]] = []
-        for item, text in items:
-            buf = np.frombuffer(text.encode(), np.uint8)
-            _, _, s, e = hash_words(buf, np.array([0, len(buf)]), ALNUM)
-            low = text.encode().lower()
-            words = [low[a:b] for a, b in zip(s, e, strict=True)]
-            k = min(window, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                w = self.windows.setdefault(tuple(words[i : i + k]), len(self.windows))
-                if w == len(self.owners):
-                    self.owners.append(set())
-                self.owners[w].add(item)
-        self.shingles: list[list[int]] = []
-        for words in self.windows:
-            text = b" ".join(words)
-            buf = np.frombuffer(text, np.uint8)
-            h = hash_words(buf, np.array([0, len(buf)]), ALNUM)[0]
-            self.shingles.append(shingle_hashes(h, min(shingle, len(words))).tolist())
-        #: Shingle sizes in use: short windows have shorter shingles.
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        self.tokens = {k: np.unique(np.array([g for w, s in zip(self.windows, self.shingles, strict=True) if min(shingle, len(w)) == k for g in s], np.uint64)) for k in self.sizes}
-        self.shingle = shingle
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's prefix: its rarest shingle."""
-        lists: dict[int, dict[int, list[tuple[int, int]]]] = {k: defaultdict(list) for k in self.sizes}
-        for w, (words, s) in enumerate(zip(self.windows, self.shingles, strict=True)):
-            _, at = min((counts.get(g, 0), i) for i, g in enumerate(s))
-            lists[min(self.shingle, len(words))][s[at]].append((at, w))
-        self.prefix = {k: dict(v) for k, v in lists.items()}
-        self.keys = {k: np.array(sorted(v), np.uint64) for k, v in self.prefix.items()}
-        self.words = list(self.windows)
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Positions of x that are among the keys: a 16-bit table of leading bits turns most away before the binary search."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
     top = np.zeros(1 << 16, bool)
     top[(sorted_keys >> np.uint64(48)).astype(np.int64)] = True
     at = np.flatnonzero(top[(x >> np.uint64(48)).astype(np.int64)])
@@ -78,126 +43,202 @@ def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return at[sorted_keys[k] == y]
 
 
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges laid end to end: which one each number is of, and the number."""
+    size = stop - start
+    which = np.repeat(np.arange(len(start)), size)
+    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + start[which]
+
+
+class Index:
+    """Distinct windows of one block of items: where their words lie in the items' text, who owns them, their prefix."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
+        data = [t.encode() for _, t in items]
+        self.low = b"".join(data).lower()
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
+        h, first, self.s, self.e = hash_words(np.frombuffer(self.low, np.uint8), offs, ALNUM)
+        self.items = sorted({i for i, _ in items})
+        rank = {x: k for k, x in enumerate(self.items)}
+        n = np.diff(first)
+        k = np.minimum(n, window)
+        item, start = ranges(first[:-1], np.where(n > 0, first[1:] - k + 1, first[:-1]))
+        size, owner = k[item], np.array([rank[i] for i, _ in items], np.int64)[item]
+        # Two hashes of 64 bits tell windows apart; what they find is compared word by word.
+        a, b = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for m in np.unique(size).tolist():
+            at = size == m
+            a[at], b[at] = shingle_hashes(h, m)[start[at]], shingle_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), m)[start[at]]
+        order = np.lexsort((owner, b, a))
+        a, b, start, size, owner = a[order], b[order], start[order], size[order], owner[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.hash, self.start, self.size = a[new], start[new], size[new]
+        self.owner, self.own = owner, np.append(np.flatnonzero(new), len(owner))
+        self.length = np.minimum(self.size, shingle)  # of its shingles, in words
+        self.grams = {g: shingle_hashes(h, g) for g in np.unique(self.length).tolist()}
+        self.tokens = {}
+        for g in self.grams:
+            w = np.flatnonzero(self.length == g)
+            _, at = ranges(self.start[w], self.start[w] + self.size[w] - g + 1)
+            self.tokens[g] = np.unique(self.grams[g][at])
+
+    def order(self, counts: dict[int, np.ndarray]) -> None:
+        """Choose each window's prefix: its rarest shingle, the first of equally rare ones."""
+        self.prefix = {}
+        for g, tokens in self.tokens.items():
+            w = np.flatnonzero(self.length == g)
+            which, at = ranges(self.start[w], self.start[w] + self.size[w] - g + 1)
+            n = counts[g][np.searchsorted(tokens, self.grams[g][at])]
+            best = np.lexsort((at, n, which))
+            best = best[np.concatenate(([True], np.diff(which[best]) > 0))]  # the first row of each window
+            at = at[best]
+            key = self.grams[g][at]
+            by = np.argsort(key, kind="stable")
+            self.prefix[g] = key[by], (at - self.start[w])[by], w[by]
+        self.grams = None  # has done its work; not sent on
+
+    def words(self, w: int) -> list[bytes]:
+        i = int(self.start[w])
+        return [self.low[self.s[j] : self.e[j]] for j in range(i, i + int(self.size[w]))]
+
+    def find(self, buf: np.ndarray, h: np.ndarray, first: np.ndarray, s: np.ndarray, e: np.ndarray):
+        """(text, first word, end, window) of every occurrence, arrays."""
+        hits = []
+        for g, (keys, offset, window) in self.prefix.items():
+            x = shingle_hashes(h, g)
+            at = member(keys, x)
+            which, entry = ranges(np.searchsorted(keys, x[at]), np.searchsorted(keys, x[at], "right"))
+            a, w = at[which] - offset[entry], window[entry]
+            b = a + self.size[w]
+            doc = np.searchsorted(first, at[which], "right") - 1
+            fits = (a >= first[doc]) & (b <= first[doc + 1])
+            doc, a, b, w = doc[fits], a[fits], b[fits], w[fits]
+            same = np.zeros(len(a), bool)
+            for k in np.unique(self.size[w]).tolist():
+                own = np.flatnonzero(self.size[w] == k)
+                same[own] = shingle_hashes(h, k)[a[own]] == self.hash[w[own]]
+            hits.append(np.stack([doc[same], a[same], b[same], w[same]], 1))
+        hits = np.concatenate(hits) if hits else np.zeros((0, 4), np.int64)
+        if len(hits):
+            low = buf.tobytes().lower()
+            known: dict[int, list[bytes]] = {}
+            right = []
+            for _, a, b, w in hits.tolist():
+                if w not in known:
+                    known[w] = self.words(w)
+                right.append([low[s[i] : e[i]] for i in range(a, b)] == known[w])
+            hits = hits[right]
+        return hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        _, at = ranges(self.own[windows], self.own[windows + 1])
+        return [self.items[k] for k in np.unique(self.owner[at])]
+
+
 def _count(index):
     def run(batches):
         tokens = index.value.tokens
-        total = {k: np.zeros(len(v), np.int64) for k, v in tokens.items()}
+        total = {g: np.zeros(len(v), np.int64) for g, v in tokens.items()}
         for batch in batches:
             for _, _, buf, offs in chunks(batch.column(0)):
                 h, first, _, _ = hash_words(buf, offs, ALNUM)
-                for k, keys in tokens.items():
-                    g = shingle_hashes(h, k)
-                    at = member(keys, g)
+                for g, keys in tokens.items():
+                    x = shingle_hashes(h, g)
+                    at = member(keys, x)
                     doc_end = first[1:][np.searchsorted(first[1:], at, "right")] if len(at) else at
-                    total[k] += np.bincount(np.searchsorted(keys, g[at[at + k <= doc_end]]), minlength=len(keys))
-        for k, n in total.items():
+                    total[g] += np.bincount(np.searchsorted(keys, x[at[at + g <= doc_end]]), minlength=len(keys))
+        for g, n in total.items():
             hit = np.flatnonzero(n)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[k][hit].view(np.int64)), pa.array(n[hit])], ["token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), g), pa.int32()), pa.array(hit, pa.int32()), pa.array(n[hit])], ["g", "token", "n"])
 
     return run
 
 
-def _scan(index, whole, min_items):
-    def run(batches):
-        x: Index = index.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = []
-            for i, j, buf, offs in chunks(batch.column(1)):
-                h, first, s, e = hash_words(buf, offs, ALNUM)
-                found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                low = None
-                for k, keys in x.keys.items():
-                    g = shingle_hashes(h, k)
-                    for at in member(keys, g).tolist():
-                        doc = int(np.searchsorted(first, at, "right")) - 1
-                        for o, w in x.prefix[k][int(g[at])]:
-                            a = at - o
-                            words = x.words[w]
-                            b = a + len(words)
-                            if a < first[doc] or b > first[doc + 1]:
-                                continue
-                            low = low if low is not None else buf.tobytes().lower()
-                            if all(low[s[a + m] : e[a + m]] == words[m] for m in range(len(words))):
-                                found[doc].append((a, b, w))
-                for d in range(j - i):
-                    hits = found.get(d, ())
-                    spans, n_hit, end, items = [], 0, 0, set()
-                    for a, b, w in sorted(hits):
-                        items |= x.owners[w]
-                        a = max(a, end)
-                        if b > a:
-                            n_hit += b - a
-                            spans.append((a - int(first[d]), b - int(first[d])))
-                            end = b
-                    out.append((ids[i + d], int(first[d + 1] - first[d]), n_hit, sorted(items), spans))
-            yield (_final if whole else _partial)(out, min_items)
-
-    return run
-
+def merged(flat: list[int]) -> tuple[int, list[int]]:
+    """Numbers covered by spans (start, end, start, end, ...), and the spans without overlaps, in order."""
+    out: list[int] = []
+    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return sum(out[1::2]) - sum(out[::2]), out
 
-def _final(rows, min_items):
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [len(r[3]) for r in rows], [hashlib.sha256(",".join(r[3]).encode()).hexdigest() for r in rows], [len(r[3]) >= min_items for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.bool_()], strict=True)], names)
 
+def _scan(index, more: bool, last: bool, min_items: int):
+    """more: the rows hold what earlier blocks found. last: no block follows."""
 
-def _partial(rows, _):
-    flat = [[v for ab in r[4] for v in ab] for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string())), pa.array(flat, pa.list_(pa.int32()))], ["doc_id", "n_words", "items", "spans"])
-
-
-def _merge(min_items):
     def run(batches):
+        x: Index = index.value
         for batch in batches:
-            rows = []
-            for doc, n, items, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n_hit = end = 0
-                flat = [v for s in spans for v in s]
-                for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                    a = max(a, end)
-                    if b > a:
-                        n_hit, end = n_hit + b - a, b
-                rows.append((doc, n, n_hit, sorted({i for s in items for i in s}), ()))
-            yield _final(rows, min_items)
+            n = batch.num_rows
+            words = np.zeros(n, np.int64)
+            items: list[list[str]] = batch.column("items").to_pylist() if more else [[] for _ in range(n)]
+            spans: list[list[int]] = batch.column("spans").to_pylist() if more else [[] for _ in range(n)]
+            for i, j, buf, offs in chunks(field(batch, "text", pa.string())):
+                h, first, s, e = hash_words(buf, offs, ALNUM)
+                words[i:j] = np.diff(first)
+                hits = x.find(buf, h, first, s, e)
+                cut = np.searchsorted(hits[:, 0], np.arange(j - i + 1))
+                for d in np.unique(hits[:, 0]).tolist():
+                    own = hits[cut[d] : cut[d + 1]]
+                    items[i + d] = sorted({*items[i + d], *x.items_of(np.unique(own[:, 3]))})
+                    spans[i + d] = merged(spans[i + d] + (own[:, 1:3] - first[d]).ravel().tolist())[1]
+            row = batch.column("row")
+            if not last:
+                yield pa.RecordBatch.from_arrays([row, pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))], ["row", "items", "spans"])
+                continue
+            cols = [pa.array(words), pa.array([merged(v)[0] for v in spans], pa.int64()), pa.array([len(v) for v in items], pa.int64()), pa.array([hashlib.sha256(",".join(v).encode()).hexdigest() for v in items], pa.string()), pa.array([len(v) >= min_items for v in items], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([row, *cols], ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
 
 def blocks_of(items: DataFrame, block_bytes: int):
-    """Items in blocks of bounded text size; the split is by hash of the item's id."""
+    """Items in blocks of bounded text size; the split is by hash of the item's id and text."""
     items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // max(1, block_bytes // 2)) if size > block_bytes else 1
     for k in range(n):
-        yield [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items).collect()]
+        yield [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items).collect()]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every row of docs as the struct row, with n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(spark, "decontam")
     ready = []
     for block in blocks_of(items, block_bytes):
         index = Index(block, window, shingle)
-        counts = {}
-        if index.windows:
-            rows = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(index)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
-            counts = {r.token & (1 << 64) - 1: r.n for r in rows}
+        counts = {g: np.zeros(len(v), np.int64) for g, v in index.tokens.items()}
+        if len(index.hash):
+            shared = spark.sparkContext.broadcast(index)
+            for r in docs.select(F.col("text").cast("string")).mapInArrow(_count(shared), "g int, token int, n long").groupBy("g", "token").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's shingles
+                counts[r.g][r.token] = r.n
+            shared.destroy()
         index.order(counts)
         ready.append(spark.sparkContext.broadcast(index))
-    if len(ready) == 1:
-        return docs.mapInArrow(_scan(ready[0], True, min_items), SCHEMA)
-    # A row number of its own keeps repeated documents apart while the blocks' parts meet.
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    copies = docs.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    parts = None
-    for index in ready:
-        part = copies.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan(index, False, min_items), "doc_id long, n_words long, items array<string>, spans array<int>")
-        parts = part if parts is None else parts.union(part)
-    parts = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
-    merged = parts.mapInArrow(_merge(min_items), SCHEMA).withColumnRenamed("doc_id", "row")
-    back = copies.select("row", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("k"))
-    return merged.join(back, "row").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    rows, own = row_of(docs), StructField("row", docs.schema)
+    found = StructType.fromDDL("items array<string>, spans array<int>").fields
+    for k, index in enumerate(ready):
+        last = k + 1 == len(ready)
+        schema = StructType([own, *(StructType.fromDDL(RESULT).fields if last else found)])
+        rows = rows.mapInArrow(_scan(index, k > 0, last, min_items), schema)
+        if not last:
+            rows = scratch.keep(rows, "rows")
+    if len(ready) > 1:
+        scratch.at_exit()
+    return rows
+
+
+def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return flagged(docs, items, **options).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, min_items: int = 1, **options) -> DataFrame:
+    """The rows of docs that hold windows of fewer than min_items items."""
+    return flagged(docs, items, min_items=min_items, **options).where("not contaminated").select("row.*")

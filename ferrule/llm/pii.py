@@ -2,13 +2,15 @@
 
 Plain finds come from fixed patterns. For disguises the text goes through two transducers that keep the source
 place of every character: the first replaces look-alike characters one by one (full-width and styled letters and
-digits, Cyrillic and Greek look-alikes, foreign digits, odd dashes and spaces); the second rewrites passages:
-invisible characters vanish, ``(at)``, ``[dot]``, ``user at host dot tld`` become ``@`` and ``.``, runs of
+digits, Cyrillic and Greek look-alikes, foreign digits, odd dashes and spaces) and drops invisible ones; the second
+rewrites passages: ``(at)``, ``[dot]``, ``user at host dot tld``, ``user@host . tld`` become ``@`` and ``.``, runs of
 spelled digits become digits, ``plus`` before digits ``+``. The same patterns then run on the result, and what they
-find is mapped back; a find that meets a plain one of its kind is left out.
+find is mapped back; a find that meets a plain one of its kind is left out. Every step takes time linear in the text.
+
+The words for digits, "at", "dot" and "plus" are those of English, German, French and Spanish; other disguises are not read.
 
 Defined results: a null text is empty and has no finds; offsets count code points, ends are exclusive; repeated rows
-stay; a null doc_id keeps its row.
+stay; a null doc_id keeps its row; an empty table gives an empty one; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -82,26 +84,19 @@ _DIGITS = {
 _AT, _DOT, _PLUS = ("at", "arroba", "arobase", "chez"), ("dot", "punkt", "punto", "point"), ("plus", "más")
 
 _any = "|".join
-_NUMBER = rf"(?:{_any(sorted(_DIGITS, key=len, reverse=True))}|[0-9]+)"
-_SPELLED = rf"(?:{_any(sorted(_DIGITS, key=len, reverse=True))})"
-_at_word, _dot_word = _any(_AT), _any(_DOT)
-_OPEN, _CLOSE = r"[\[({<_*-]", r"[\])}>_*-]"
-_host = r"[A-Za-z0-9-]+"
-_dots = rf"(?:\s*{_OPEN}\s*(?:{_dot_word}|\.)\s*{_CLOSE}\s*|\s+(?:{_dot_word})\s+|\s\.\s|\.)"
-_ats = rf"(?:\s*{_OPEN}\s*(?:{_at_word}|@)\s*{_CLOSE}\s*|\s*@\s*)"
-#: user (at) host.tld and the like; user at host dot tld; user.name7 at host.tld.
-_MAIL = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])(?P<user>[A-Za-z0-9_%+](?:[A-Za-z0-9._%+-]|{_dots}(?=[A-Za-z0-9._%+-]+(?:{_ats}|\s+(?:{_at_word})\s)))*?)"
-    rf"(?:(?P<a>{_ats})(?P<h>{_host}(?:{_dots}{_host})+)"
-    rf"|(?P<b>\s+(?:{_at_word})\s+)(?P<i>{_host}(?:{_dots}{_host})*(?:\s*{_OPEN}\s*(?:{_dot_word})\s*{_CLOSE}\s*|\s+(?:{_dot_word})\s+){_host}(?:{_dots}{_host})*)"
-    rf"|(?<=[0-9._])(?P<c>\s+(?:{_at_word})\s+)(?P<j>{_host}(?:\.{_host})*\.[A-Za-z]{{2,}}))"
-)
-_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_any(_PLUS)})\s+|\+\s*)?\(?{_NUMBER}(?:(?:[\s,.()-]{{1,3}}|\s+(?:{_dot_word})\s+|\s*{_OPEN}\s*(?:{_dot_word}|\.)\s*{_CLOSE}\s*){_NUMBER})+(?!\w)")
-_PIECE = re.compile(rf"(?i)(?P<n>{_SPELLED})(?!\w)|(?P<p>{_any(_PLUS)})\s+|(?P<d>\s*{_OPEN}?\s*(?:{_dot_word})\s*{_CLOSE}?\s*|{_OPEN}\.{_CLOSE})|(?P<x>[0-9]+)|(?P<s>[\s,.()-]+)")
-_DOT_PIECE = re.compile(rf"(?i){_dots}")
-_WORD = re.compile(r"[^\W\d_]+")
-_MARKED_AT = re.compile(rf"(?i){_OPEN}\s*(?:{_at_word}|@|\.)\s*{_CLOSE}|\s@|@\s|[\])}}>]@|[0-9._]\s+(?:{_at_word})\s+[A-Za-z0-9-]+\.[A-Za-z]")
-_TRIGGER_RUN = re.compile(rf"(?i)(?<!\w){_SPELLED}[\s,.()-]{{1,3}}{_NUMBER}(?!\w)|(?<!\w)[0-9]+[\s,.()-]{{1,3}}{_SPELLED}(?!\w)|(?<!\w)(?:{_any(_PLUS)})\s+{_NUMBER}|[0-9]\s*{_OPEN}?\s*(?:{_dot_word})\s*{_CLOSE}?\s*[0-9]|[0-9]{_OPEN}\.{_CLOSE}[0-9]")
+_dot_word = _any(_DOT)
+_OPEN, _CLOSE = dict(zip("[({<*_-", "])}>*_-", strict=True)), frozenset("])}>*_-")
+#: Every pattern here starts at a fixed character or word and gives nothing back, so the work is linear in the text.
+_AT_SIGN = re.compile(rf"@|(?<!\w)(?:{_any(_AT)})(?!\w)|(?<=[_*-])(?:{_any(_AT)})(?=[_*-])")
+_HOST_DOT = rf"(?:\.|\s\.\s|\s++(?:{_dot_word})\s++|\s*+[\[({{<]\s*+(?:{_dot_word}|\.)\s*+[\])}}>]\s*+|[*_-](?:{_dot_word})[*_-])"
+_HOST = re.compile(rf"[a-z0-9]++(?:-++[a-z0-9]++)*+(?:{_HOST_DOT}[a-z0-9]++(?:-++[a-z0-9]++)*+)++")
+_HOST_DOTS = re.compile(rf"{_HOST_DOT}(?=[a-z0-9])")
+_TOP = re.compile(r"[a-z]{2,}$")
+_NUMBER = re.compile(rf"(?<!\w)(?:(?P<n>{_any(sorted(_DIGITS, key=len, reverse=True))})|[0-9]++)(?!\w)")
+_GAP = re.compile(rf"\s++(?:{_dot_word})\s++|\s*+[\[({{<]\s*+(?:{_dot_word}|\.)\s*+[\])}}>]\s*+|[*_-](?:{_dot_word})[*_-]|(?P<s>[\s,.()-]{{1,3}})")
+_PLUS_BEFORE = re.compile(rf"(?<!\w)(?:{_any(_PLUS)})\s++(?=\(?$)")
+#: What a text must hold for some run of digits to be in disguise.
+_SPELLED = re.compile(rf"(?<!\w)(?:{_any(sorted(_DIGITS, key=len, reverse=True))}|{_any(_PLUS)})(?!\w)|(?<![^\W_])(?:{_dot_word})(?![^\W_])|[\[({{<]\s*+\.")
 _ODD = re.compile("[^\u0000-\u009f¡-¬®-ÿ]")
 
 
@@ -122,76 +117,181 @@ class _Folds(dict):
 _folds = _Folds()
 
 
-def _rewrites(text: str, odd: bool) -> list[tuple[int, int, str]]:
-    """Passages (start, end, instead), in order and apart."""
-    found: list[tuple[int, int, str]] = []
-    if odd:
-        found += [(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", text)]
-    for m in _MAIL.finditer(text):
-        name = "a" if m["a"] else "b" if m["b"] else "c"
-        host = {"a": "h", "b": "i", "c": "j"}[name]
-        found.append((*m.span(name), "@"))
-        found += [(*d.span(), ".") for part in ("user", host) for d in _DOT_PIECE.finditer(text, *m.span(part)) if d[0] != "."]
-    for m in _RUN.finditer(text):
-        if not re.search(rf"(?i){_SPELLED}|{_any(_PLUS)}|{_dot_word}|{_OPEN}\.{_CLOSE}", m[0]):
+def _spaces_before(text: str, i: int, least: int) -> int:
+    while i > least and text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+def _spaces_after(text: str, i: int) -> int:
+    n = len(text)
+    while i < n and text[i].isspace():
+        i += 1
+    return i
+
+
+def _dot_before(low: str, end: int, least: int) -> int:
+    """Where a disguised dot that ends at ``end`` starts, with the space around it; -1 if there is none."""
+    i = _spaces_before(low, end, least)
+    if i <= least:
+        return -1
+    if low[i - 1] in "])}>":
+        j = _spaces_before(low, i - 1, least)
+        word = next((w for w in (".", *_DOT) if low.endswith(w, least, j)), None)
+        if word is None:
+            return -1
+        j = _spaces_before(low, j - len(word), least)
+        return _spaces_before(low, j - 1, least) if j > least and _OPEN.get(low[j - 1]) == low[i - 1] else -1
+    if i == end - 1 and low[i - 1] == "." and i - 2 >= least and low[i - 2].isspace():
+        return i - 2
+    word = next((w for w in _DOT if low.endswith(w, least, i)), None) if i < end else None
+    if word is None:
+        return -1
+    j = i - len(word)
+    k = _spaces_before(low, j, least)
+    return k if k < j else -1
+
+
+def _mail_edits(low: str) -> list[tuple[int, int, str]]:
+    """user (at) host.tld and the like; user at host dot tld; user.name7 at host.tld; with dots in disguise in either."""
+    out: list[tuple[int, int, str]] = []
+    least = 0  # where the last sign or address ended: nothing before it is looked at again
+    for m in _AT_SIGN.finditer(low):
+        if m.start() < least:
+            continue
+        i, j = m.span()
+        marked = weak = False
+        p, q = _spaces_before(low, i, least), _spaces_after(low, j)
+        if p > least and q < len(low) and _OPEN.get(low[p - 1]) == low[q]:
+            weak = low[q] in "*_-"
+            if not weak or (p == i and q == j):
+                marked, p, q = True, p - 1, q + 1
+                if not weak:
+                    p, q = _spaces_before(low, p, least), _spaces_after(low, q)
+        bare = m[0] != "@" and not marked
+        floor, least = least, j
+        if bare and (p == i or q == j) or p <= floor or low[p - 1] not in _LOCAL:
+            continue
+        host = _HOST.match(low, q)
+        if not host:
+            continue
+        dots = [d.span() for d in _HOST_DOTS.finditer(low, q, host.end())]
+        hidden = any(not low[a:b].strip() == "." for a, b in dots)
+        if (bare or weak) and not hidden and not (bare and low[p - 1] in "0123456789._" and all(b - a == 1 for a, b in dots) and _TOP.search(low, dots[-1][1], host.end())):
             continue
-        before = None
-        for p in _PIECE.finditer(text, *m.span()):
-            if p["n"]:
-                found.append((*p.span(), str(_DIGITS[p[0].lower()])))
-            elif p["p"]:
-                found.append((*p.span(), "+"))
-            elif p["d"]:
-                found.append((*p.span(), "."))
-            elif p["s"] and before == "n" and "." not in p[0] and "(" not in p[0] and ")" not in p[0]:
-                after = _PIECE.match(text, p.end(), m.end())
-                if after and after["n"]:
-                    found.append((*p.span(), ""))
-            before = p.lastgroup
-    found.sort()
+        start, at = p, p
+        while at > floor and low[at - 1] in _LOCAL:
+            at -= 1
+        edits = [(p, q, "@")] if low[p:q] != "@" else []
+        while at < start:
+            start = at
+            k = _dot_before(low, at, floor)
+            if k <= floor or low[k - 1] not in _LOCAL:
+                break
+            edits.append((k, at, "."))
+            start = at = k
+            while at > floor and low[at - 1] in _LOCAL:
+                at -= 1
+        out += sorted(edits + [(a, b, ".") for a, b in dots if low[a:b] != "."])
+        least = host.end()
+    return out
+
+
+def _digit_edits(low: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits, numbers, dots and plus in words."""
     out: list[tuple[int, int, str]] = []
-    for x in found:
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
+    run: list[re.Match] = []
+    gaps: list[re.Match] = []
+
+    def close():
+        if len(run) > 1:
+            before = low[max(0, run[0].start() - 24) : run[0].start()]
+            plus = _PLUS_BEFORE.search(before)
+            if plus or any(m["n"] for m in run) or any(g["s"] is None for g in gaps):
+                if plus:
+                    a = run[0].start() - len(before)
+                    out.append((a + plus.start(), a + plus.end(), "+"))
+                for k, m in enumerate(run):
+                    if m["n"]:
+                        out.append((*m.span(), str(_DIGITS[m["n"]])))
+                    if k + 1 < len(run):
+                        g = gaps[k]
+                        if g["s"] is None:
+                            out.append((m.end(), run[k + 1].start(), "."))
+                        elif m["n"] and run[k + 1]["n"] and not set(g["s"]) & set(".()"):
+                            out.append((m.end(), run[k + 1].start(), ""))
+        run.clear()
+        gaps.clear()
+
+    for m in _NUMBER.finditer(low):
+        if run:
+            gap = _GAP.fullmatch(low, run[-1].end(), m.start())
+            if gap:
+                gaps.append(gap)
+            else:
+                close()
+        run.append(m)
+    close()
     return out
 
 
-def disguised(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Finds of the normalised text, as source spans, but for those that meet one of ``taken`` of their kind."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    folded = text.translate(_folds) if odd else text
-    if not odd:
-        # The words of a text are few; only some sets of them are worth the patterns.
-        words = set(_WORD.findall(text.lower()))
-        dots = not words.isdisjoint(_DOT)
-        mail = ("@" in text or not words.isdisjoint(_AT)) and (dots or _MARKED_AT.search(text))
-        if not mail and not ((dots or not words.isdisjoint(_DIGITS) or not words.isdisjoint(_PLUS) or "[.]" in text or "(.)" in text) and _TRIGGER_RUN.search(text)):
-            return []
-    edits = _rewrites(folded, odd)
-    if not edits and folded == text:
+class Rewritten:
+    """A text after edits (start, end, instead), and where its characters come from."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]):
+        parts, self.starts, self.sources, at, size = [], [0], [(0, 0)], 0, 0
+        for a, b, to in edits:
+            if a < at:  # meets the one before
+                continue
+            parts += [text[at:a], to]
+            size += a - at
+            if to:
+                self.starts.append(size)
+                self.sources.append((a, b))
+            size += len(to)
+            self.starts.append(size)
+            self.sources.append((b, b))
+            at = b
+        self.text = "".join(parts) + text[at:]
+
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        def source(i: int, last: bool) -> int:
+            k = bisect_right(self.starts, i) - 1
+            a, b = self.sources[k]
+            return (b if last else a) if a < b else a + i - self.starts[k] + last
+
+        return source(i, False), source(j - 1, True)
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def disguised(text: str, taken: list[tuple[int, int, int]], gate: bool = True) -> list[tuple[int, int, int]]:
+    """Finds of the normalised text, as source spans, but for those that meet one of ``taken`` of their kind.
+
+    ``gate=False`` runs every pattern over every text; the result is the same.
+    """
+    steps = []
+    now = text
+    if not gate or (not text.isascii() and _ODD.search(text)):
+        now = text.translate(_folds)
+        steps.append(Rewritten(now, [(*m.span(), "") for m in re.finditer(f"[{_INVISIBLE}]+", now)]))
+        now = steps[-1].text
+    low = _lower(now)
+    edits = _mail_edits(low)
+    if not gate or _SPELLED.search(low):
+        edits = sorted(edits + _digit_edits(low))
+    if edits:
+        steps.append(Rewritten(now, edits))
+        now = steps[-1].text
+    if now == text:
         return []
-    parts, starts, sources, at, size = [], [0], [(0, 0)], 0, 0  # pieces of the result: where they start, what they come from
-    for a, b, to in edits:
-        parts += [folded[at:a], to]
-        size += a - at
-        starts.append(size)
-        sources.append((a, b))
-        size += len(to)
-        starts.append(size)
-        sources.append((b, b))
-        at = b
-    normal = "".join(parts) + folded[at:]
-
-    def source(i: int, last: bool) -> int:
-        k = bisect_right(starts, i) - 1
-        a, b = sources[k]
-        if a < b:  # inside a rewritten passage
-            return b if last else a
-        return a + i - starts[k] + last
-
     out = []
-    for kind, a, b in plain(normal):
-        x, y = source(a, False), source(b - 1, True)
+    for kind, x, y in plain(now):
+        for step in reversed(steps):
+            x, y = step.span(x, y)
         if not any(k == kind and x < d and c < y for k, c, d in taken):
             out.append((kind, x, y))
     return out

@@ -42,7 +42,7 @@ def op6_pii(spark, d):
 
 
 def op7_langid(spark, d):
-    return langid.languages(_read(spark, d, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.languages(_read(spark, d, "documents"), spans=False)
 
 
 def op8_token_output(spark, d):
@@ -54,7 +54,7 @@ def op9_url_filter(spark, d):
 
 
 def op10_toxicity(spark, d):
-    found = toxicity.toxicity(_read(spark, d, "documents"), _read(spark, d, "labels").where(~toxicity.held_out()))
+    found = toxicity.toxicity(_read(spark, d, "documents"), _read(spark, d, "labels").where(~toxicity.held_out()), evidence=False)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 

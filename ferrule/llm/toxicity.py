@@ -1,21 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Terms are words (runs of letters, A-Z lower-cased) and the first ``PREFIX`` bytes of longer ones. The model's terms are those whose presence
-goes with the label by a G-test on the labelled sample (at most ``TERMS``, the strongest); their idf is counted
-over all documents. Examples and documents are unit vectors of ``(1 + log tf) * idf`` over these terms.
-
-The index lists, for each term, its weights in the examples, in blocks of ``BLOCK`` examples with the largest
-weight of each block beside them. A query's sum over its terms of these maxima bounds every score of the block;
-queries go in batches, blocks from the highest sum of bounds down, and a query leaves out every block whose bound
-does not reach its k-th score so far, so the k nearest are exact. Votes are weighted by cosine; the raw vote becomes a probability by a monotone
-step function fitted on labelled rows that are not in the index.
+Terms are words (runs of letters, A-Z lower-cased) and the first ``PREFIXES`` bytes of longer ones. Examples and documents
+are unit vectors of ``(1 + ln tf) * idf`` over all their terms, ``idf = ln((1 + N) / (1 + df))`` with N and df counted over
+all documents. A term that no example has is counted 0; it meets nothing and is only part of the document's length.
+
+The index lists, for each term, its weights in the examples. Like examples lie together in blocks of ``BLOCK``. Long lists
+(terms of more than one in ``COMMON`` examples) are stored by block, with the largest weight of each block beside them;
+the others are plain posting lists. A query's short lists are merged first. The sum they give at most within a block, with the
+query's long lists' block maxima, bounds every score of the block. Blocks with the highest bounds are scored first, in
+batches of queries of the same kind; a block is left out where its bound does not reach any query's k-th score so far, so
+the k nearest are exact. Votes are weighted by cosine; the raw vote becomes a probability by a monotone step function,
+fitted on the votes that each example gets from the others.
 
 The labelled sample has about ``SAMPLE`` rows (by hash of the id; all, if there are fewer): a documented bound of
 what is learned from; every document is scored by its whole text.
 
 Defined results: null, empty and wordless texts have no terms and get the score of "no neighbours"; of equally near
 examples the first in the index counts; repeated rows stay; labels that are null or of null doc_id are not learned
-from; several labels of one id count as their largest; without labels all scores are 0.
+from; several labels of one id count as their largest; without labels all scores are 0; an empty table gives an empty
+one; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,33 +28,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Scratch, chunks, hash_words, mix, prepare
+from ferrule.llm.common import Scratch, blobs, chunks, hash_words, mix, prepare, summed
 from ferrule.llm.langid import LETTERS
 
-SAMPLE, TERMS, MIN_DOCS, G_TEST, K, BLOCK, SMOOTH, PREFIX = 12_000, 2048, 3, 10.8, 15, 128, 0.05, 6
-CUT = 0.7
+SAMPLE, K, BLOCK, COMMON, SMOOTH, PREFIXES = 12_000, 40, 128, 32, 0.05, (4, 6)
+CUT, SLICE, BATCH = 0.7, 1 << 16, 64
 
 
 def terms_of(buf, offs):
-    """Hashes of all words of a chunk and of the prefixes of its longer words; first word of each text; which words are long."""
+    """Hashes of all words of a chunk and of the prefixes of longer ones, with the number of the word; first word of each text."""
     h, first, s, e = hash_words(buf, offs, LETTERS)
-    long = np.flatnonzero(e - s > PREFIX)
     low = LETTERS[buf].astype(np.uint64)
-    p = np.zeros(len(long), np.uint64)
-    for j in range(PREFIX):
-        p = p * np.uint64(257) + low[s[long] + j]
-    return h, first, mix(p + np.uint64(0x5851F42D4C957F2D)), long
-
-
-def _per_text(column, keys=None):
-    """Row, distinct terms, their counts; of ``keys`` alone (as positions in it), if given."""
+    term, place = [h], [np.arange(len(h))]
+    for n in PREFIXES:
+        long = np.flatnonzero(e - s > n)
+        p = np.full(len(long), n, np.uint64)
+        for j in range(n):
+            p = p * np.uint64(257) + low[s[long] + j]
+        term.append(mix(p + np.uint64(0x5851F42D4C957F2D)))
+        place.append(long)
+    return np.concatenate(term), np.concatenate(place), first
+
+
+def per_text(column):
+    """Row, distinct terms in order, their counts, of each text that has words."""
     for i, j, buf, offs in chunks(column):
-        h, first, p, long = terms_of(buf, offs)
-        term, place = np.concatenate((h, p)), np.concatenate((np.arange(len(h)), long))
-        if keys is not None:
-            k = np.minimum(np.searchsorted(keys, term), len(keys) - 1)
-            hit = keys[k] == term
-            term, place = k[hit].astype(np.uint64), place[hit]
+        term, place, first = terms_of(buf, offs)
         order = np.argsort(place, kind="stable")
         term, place = term[order], place[order]
         at = np.searchsorted(place, first)
@@ -60,83 +62,126 @@ def _per_text(column, keys=None):
                 yield i + d, *np.unique(term[at[d] : at[d + 1]], return_counts=True)
 
 
-def _presence(batches):
+def _sample_terms(batches):
     for batch in batches:
-        tox = batch.column(0).to_pylist()
-        for row, term, _ in _per_text(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), tox[row], np.int32))], ["term", "toxic"])
+        tox, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, term, n in per_text(batch.column(2)):
+            one = [pa.array([tox[row]], pa.int32()), pa.array([ids[row]], pa.int64()), pa.array([term.view(np.int64)], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(one, ["toxic", "doc_id", "terms", "counts"])
 
 
 def _document_counts(keys):
     def run(batches):
-        total = np.zeros(len(keys.value), np.int64)
-        docs = 0
-        for batch in batches:
-            docs += batch.num_rows
-            for _, term, _ in _per_text(batch.column(0), keys.value):
-                total[term.astype(np.int64)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(total)), -1), pa.int32()), pa.array(np.append(total, docs))], ["term", "n"])
-
-    return run
-
-
-def _vectors(keys):
-    def run(batches):
+        known = keys.value
+        total = np.zeros(len(known), np.int64)
         for batch in batches:
-            tox, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row, term, n in _per_text(batch.column(2), keys.value):
-                yield pa.RecordBatch.from_arrays([pa.array([tox[row]], pa.int32()), pa.array([ids[row]], pa.int64()), pa.array([term.astype(np.int32).tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int64()))], ["toxic", "doc_id", "terms", "counts"])
+            for _, term, _ in per_text(batch.column(0)):
+                at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                total[at[known[at] == term]] += 1
+        yield from blobs(total, SLICE)
 
     return run
 
 
 class Index:
-    def __init__(self, keys: np.ndarray, idf: np.ndarray):
-        self.keys, self.idf = keys, idf.astype(np.float32)
+    """Examples as unit vectors over ``keys`` (sorted term hashes)."""
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n_docs: int):
+        self.keys, self.idf = keys, np.log((1 + n_docs) / (1 + df)).astype(np.float32)
+        self.unseen = float(np.log(1 + n_docs))
         self.steps = (np.array([-np.inf]), np.array([0.0]))
 
-    def weigh(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-        x = np.zeros((n, len(self.keys)), np.float32)
-        x[rows, terms] = (1 + np.log(counts)) * self.idf[terms]
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-
-    def build(self, x: np.ndarray, toxic: np.ndarray, ids: np.ndarray) -> None:
-        """Like examples share blocks: those of one strongest term lie together."""
-        order = np.lexsort((ids, -x.max(1, initial=0), x.argmax(1), toxic))
-        x, self.toxic, self.ids = x[order], toxic[order].astype(np.float32), ids[order]
-        cuts = range(0, len(x), BLOCK)
-        self.blocks = [np.ascontiguousarray(x[i : i + BLOCK].T) for i in cuts]
-        self.highest = np.stack([b.max(1) for b in self.blocks], 1) if self.blocks else np.zeros((x.shape[1], 0), np.float32)
-
-    def nearest(self, q: np.ndarray, k: int = K):
-        """Positions and cosines of the k nearest examples of each row; a cosine of 0 is no neighbour."""
-        n = len(q)
-        best, who = np.zeros((n, k), np.float32), np.full((n, k), -1)
-        used = np.flatnonzero(q.any(0))  # only the lists of the queries' own terms are read
-        q = np.ascontiguousarray(q[:, used])
-        bound = q @ self.highest[used]
-        for block in np.argsort(-bound.sum(0), kind="stable"):
-            rows = np.flatnonzero(bound[:, block] >= np.maximum(best[:, -1] - 1e-6, 1e-9))
-            if not len(rows):
-                continue
-            s = q[rows] @ self.blocks[block][used]
-            better = (s >= np.maximum(best[rows, -1:], 1e-9)).any(1)
-            rows, s = rows[better], s[better]
-            if not len(rows):
-                continue
-            place = np.broadcast_to(block * BLOCK + np.arange(s.shape[1]), s.shape)
-            s, place = np.concatenate((best[rows], s), 1), np.concatenate((who[rows], place), 1)
-            top = np.lexsort((place, -s), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(place, top, 1)
-        who[best <= 0] = -1
-        return who, best
+    def weigh(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions among the keys and unit weights of a text's distinct terms; what lies outside only shortens them."""
+        at = np.minimum(np.searchsorted(self.keys, term), len(self.keys) - 1) if len(self.keys) else np.zeros(len(term), np.int64)
+        known = self.keys[at] == term if len(self.keys) else np.zeros(len(term), bool)
+        tf = 1 + np.log(n)
+        w = tf * np.where(known, self.idf[at] if len(self.keys) else 0.0, self.unseen)
+        return at[known], (w[known] / max(float(np.sqrt((w * w).sum())), 1e-9)).astype(np.float32)
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ids: np.ndarray) -> None:
+        n = len(vectors)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(w for _, w in vectors)])
+        owner = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        often = np.bincount(term, minlength=len(self.keys)) * COMMON > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)  # of the long lists, -1 for the others
+        dense = np.zeros((n, int(often.sum())), np.float32)
+        long = often[term]
+        dense[owner[long], self.column[term[long]]] = weight[long]
+        # Like examples share blocks: each goes to the nearest of some of them.
+        leaders = dense[np.linspace(0, n - 1, min(n, 64)).astype(int)] if n else dense
+        order = np.lexsort((ids, (dense @ leaders.T).argmax(1))) if n else np.zeros(0, np.int64)
+        self.toxic, self.ids, self.n = toxic[order].astype(np.float32), ids[order], n
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.n_blocks = -(-n // BLOCK)
+        self.long = np.zeros((dense.shape[1], self.n_blocks * BLOCK), np.float32)
+        self.long[:, :n] = dense[order].T
+        self.highest = self.long.reshape(dense.shape[1], self.n_blocks, BLOCK).max(2) if n else np.zeros((dense.shape[1], 0), np.float32)
+        term, owner, weight = term[~long], place[owner[~long]], weight[~long]
+        by = np.lexsort((owner, term))
+        self.first = np.searchsorted(term[by], np.arange(len(self.keys) + 1)).astype(np.int32)
+        self.owner, self.weight = owner[by].astype(np.int32), weight[by]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, skip: np.ndarray | None = None):
+        """Positions and cosines of the k nearest examples of each query, nearest first; a cosine of 0 is no neighbour.
+
+        ``skip`` names a position that is no neighbour of each query.
+        """
+        n, size = len(queries), self.n_blocks * BLOCK
+        who, cos = np.full((n, k), -1), np.zeros((n, k), np.float32)
+        if not n or not size:
+            return who, cos
+        rows = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        column = self.column[term]
+        long = column >= 0
+        q = np.zeros((n, len(self.long)), np.float32)
+        q[rows[long], column[long]] = weight[long]
+        # The short lists, one after the other, merged by place.
+        rows, term, weight = rows[~long], term[~long], weight[~long]
+        length = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        scores = np.bincount(np.repeat(rows, length) * size + self.owner[at], np.repeat(weight, length) * self.weight[at], n * size).astype(np.float32).reshape(n, size)
+        if skip is not None:
+            scores[np.arange(n), skip] = -np.inf
+        blocks = scores.reshape(n, self.n_blocks, BLOCK)
+        bound = q @ self.highest + np.maximum(blocks.max(2), 0)
+        done = np.zeros(self.n_blocks, bool)
+
+        def add(which):
+            cells = (which[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            blocks[:, which] += (q @ self.long[:, cells]).reshape(n, len(which), BLOCK)
+            done[which] = True
+
+        few = max(-(-2 * k // BLOCK), self.n_blocks // 4)
+        add(np.argsort(-bound.sum(0), kind="stable")[:few])
+
+        def floor():
+            own = scores.reshape(n, self.n_blocks, BLOCK)[:, done].reshape(n, -1)
+            return -np.partition(-own, k - 1, 1)[:, k - 1] if own.shape[1] >= k else np.full(n, -np.inf)
+
+        least = floor()
+        rest = np.flatnonzero(~done & (bound >= np.maximum(least - 1e-5, 1e-9)[:, None]).any(0))
+        if len(rest):
+            add(rest)
+            least = floor()
+        blocks[:, ~done] = 0  # out of reach
+        r, c = np.nonzero(scores >= np.maximum(least, 1e-9)[:, None])
+        s = scores[r, c]
+        order = np.lexsort((c, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        i = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+        r, c, s, i = (x[i < k] for x in (r, c, s, i))
+        who[r, i], cos[r, i] = c, s
+        return who, cos
 
     def raw(self, who: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Distance-weighted vote; -1 where there is no neighbour."""
         near = who >= 0
         votes = (cos * near * self.toxic[np.maximum(who, 0)]).sum(1) if len(self.toxic) else np.zeros(len(who))
-        weight = (cos * near).sum(1)
-        return np.where(near.any(1), votes / (weight + SMOOTH), -1.0)
+        return np.where(near.any(1), votes / ((cos * near).sum(1) + SMOOTH), -1.0)
 
     def calibrate(self, raw: np.ndarray, toxic: np.ndarray) -> None:
         """Pool adjacent violators: a monotone step function from votes to the part of toxic rows."""
@@ -163,7 +208,7 @@ class Index:
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Index | None:
-    """Learn from labels (doc_id, toxic) of docs; idf from all docs. At most TERMS terms and the sample's vectors reach the driver."""
+    """Learn from labels (doc_id, toxic) of docs; idf from all docs. The sample's terms reach the driver, nothing else that grows."""
     spark = docs.sparkSession
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -172,76 +217,82 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
         return None
     few = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / total)) + (total <= sample))
     few = scratch.keep(few, "few")  # of bounded size: about `sample` rows
-    rows = scratch.keep(docs.join(F.broadcast(few), "doc_id").select("toxic", "doc_id", "text"), "sample")
+    # A row that is repeated is one example.
+    rows = scratch.keep(docs.join(F.broadcast(few), "doc_id").select("toxic", "doc_id", "text").distinct(), "sample")
     sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    n, t = sums.n, sums.t
-    if not n:
+    if not sums.n:
         return None
-    seen = rows.select("toxic", "text").mapInArrow(_presence, "term long, toxic int").groupBy("term").agg(F.count("*").alias("d"), F.sum("toxic").alias("a")).where(f"d >= {MIN_DOCS}")
-    cells = [("a", f"d * {t} / {n}"), ("d - a", f"d * {n - t} / {n}"), (f"{t} - a", f"({n} - d) * {t} / {n}"), (f"{n - t} - d + a", f"({n} - d) * {n - t} / {n}")]
-    g = " + ".join(f"case when ({o}) > 0 then 2 * ({o}) * ln(({o}) / ({e})) else 0 end" for o, e in cells)
-    chosen = seen.withColumn("g", F.expr(g)).where(f"g > {G_TEST}").orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    keys = np.sort(np.array([r.term for r in chosen], np.int64).view(np.uint64)) if chosen else np.zeros(1, np.uint64)
+    found = rows.mapInArrow(_sample_terms, "toxic int, doc_id long, terms array<long>, counts array<int>").toArrow().combine_chunks()
+    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    toxic, ids = (np.asarray(found.column(c)) for c in ("toxic", "doc_id"))
+    terms, counts = found.column("terms").combine_chunks(), found.column("counts").combine_chunks()
+    cuts = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(terms)).astype(np.int64)))) if len(terms) else np.zeros(1, np.int64)
+    terms, counts = np.asarray(pa.compute.list_flatten(terms)).view(np.uint64), np.asarray(pa.compute.list_flatten(counts))
+    keys = np.unique(terms)
     shared = spark.sparkContext.broadcast(keys)
-    found = docs.select("text").mapInArrow(_document_counts(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r.term: r.n for r in found}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(k, 0) for k in range(len(keys))]))) + 1
-    index = Index(keys, idf)
-    vectors = rows.select("toxic", "doc_id", "text").mapInArrow(_vectors(shared), "toxic int, doc_id long, terms array<int>, counts array<long>").toPandas()
-    vectors = vectors.sort_values(["doc_id", "toxic"]).reset_index(drop=True)
-    size = vectors.terms.map(len).to_numpy()
-    at = np.repeat(np.arange(len(vectors)), size)
-    x = index.weigh(at, np.concatenate([*vectors.terms, []]).astype(int), np.concatenate([*vectors.counts, []]).astype(float), len(vectors))
-    y, ids = vectors.toxic.to_numpy(), vectors.doc_id.to_numpy()
-    # A third calibrates, two thirds are the examples.
-    aside = mix(ids.astype(np.uint64)) % np.uint64(3) == 0
-    index.build(x[~aside], y[~aside], ids[~aside])
-    raw = index.raw(*index.nearest(x[aside]))
+    df = summed(docs.select("text").mapInArrow(_document_counts(shared), "slice int, counts binary"), len(keys), SLICE) if len(keys) else np.zeros(0)
+    shared.destroy()
+    index = Index(keys, df, docs.count())
+    vectors = [index.weigh(terms[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    index.build(vectors, toxic, ids)
+    # Each example is judged by the others.
+    place = np.empty(len(ids), np.int64)
+    place[np.lexsort((np.arange(len(ids)), ids))] = np.argsort(index.ids, kind="stable")
+    raw = np.full(len(ids), -1.0)
+    by = np.argsort(place)
+    for i in range(0, len(by), BATCH):
+        part = by[i : i + BATCH]
+        raw[part] = index.raw(*index.nearest([vectors[j] for j in part], skip=place[part]))
     # Rows without any term have no vector: they are the pool of "no neighbours".
-    blank, blank_toxic = (n - len(vectors)) // 3, (t - int(y.sum())) // 3
-    raw = np.concatenate((raw, np.full(max(blank, 0), -1.0)))
-    index.calibrate(raw, np.concatenate((y[aside], np.arange(max(blank, 0)) < blank_toxic)))
+    blank, blank_toxic = sums.n - len(ids), sums.t - int(toxic.sum())
+    index.calibrate(np.concatenate((raw, np.full(blank, -1.0))), np.concatenate((toxic, np.arange(blank) < blank_toxic)))
     return index
 
 
-def _judge(index):
+def _judge(index, evidence):
     def run(batches):
         x: Index = index.value
         for batch in batches:
             n = batch.num_rows
-            rows, terms, counts = [], [], []
-            for row, term, c in _per_text(batch.column(1), x.keys):
-                rows.append(np.full(len(term), row))
-                terms.append(term.astype(np.int64))
-                counts.append(c)
-            raw, evidence = np.full(n, -1.0), [[] for _ in range(n)]
-            if rows:
-                r, t, c = np.concatenate(rows), np.concatenate(terms), np.concatenate(counts)
-                with_terms = np.unique(r)
-                for i in range(0, len(with_terms), 128):
-                    part = with_terms[i : i + 128]
-                    own = slice(*np.searchsorted(r, [part[0], part[-1] + 1]))
-                    who, cos = x.nearest(x.weigh(np.searchsorted(part, r[own]), t[own], c[own], len(part)))
-                    raw[part] = x.raw(who, cos)
-                    for k, d in enumerate(part):
-                        evidence[d] = x.ids[who[k][who[k] >= 0]].tolist()
+            raw, near = np.full(n, -1.0), [[] for _ in range(n)]
+            rows, vectors = [], []
+            for row, term, count in per_text(batch.column(1)):
+                rows.append(row)
+                vectors.append(x.weigh(term, count))
+            # Queries of one kind go together, so that they need the same blocks.
+            kind = []
+            for t, w in vectors:
+                c = x.column[t] if len(x.keys) else t
+                kind.append(int((w[c >= 0] @ x.highest[c[c >= 0]]).argmax()) if (c >= 0).any() else -1)
+            by = np.argsort(np.array(kind), kind="stable") if kind else []
+            for i in range(0, len(by), BATCH):
+                part = by[i : i + BATCH]
+                who, cos = x.nearest([vectors[j] for j in part])
+                at = [rows[j] for j in part]
+                raw[at] = x.raw(who, cos)
+                if evidence:
+                    for r, own in zip(at, who, strict=True):
+                        near[r] = x.ids[own[own >= 0]].tolist()
             score = x.score(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
+            cols, names = [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(near, pa.list_(pa.int64()))] if evidence else cols, [*names, "evidence"] if evidence else names)
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score, predicted, evidence (doc_ids of the nearest examples) of every row of docs (doc_id, text)."""
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: bool = True) -> DataFrame:
+    """doc_id, score, predicted and, if asked for, evidence (doc_ids of the nearest examples) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(spark, "toxicity")
     index = fit(docs, labels, scratch, sample)
     scratch.at_exit()
+    more = ", evidence array<long>" if evidence else ""
     if index is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<bigint>)").alias("evidence"))
-    return docs.mapInArrow(_judge(spark.sparkContext.broadcast(index)), "doc_id long, score double, predicted int, evidence array<long>")
+        none = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<bigint>)").alias("evidence")]
+        return docs.select("doc_id", *none[: 2 + evidence])
+    return docs.mapInArrow(_judge(spark.sparkContext.broadcast(index), evidence), f"doc_id long, score double, predicted int{more}")
 
 
 def held_out(column: str = "doc_id"):
