@@ -1,22 +1,23 @@
 """Exact top-k search by inner product: a Voronoi join of queries and data.
 
-Vectors are quantized to integers, floor(64 * x). Pivots part them into cells; the cells of the data are packed in
-blocks of at most ``BLOCK`` vectors, ascending ids inside, those of the queries likewise. With r(i) the largest
-distance of a query of cell i to its pivot p(i), s(j) that of the data of cell j and M(j) their largest norm,
+Vectors are quantized to integers, floor(64 * x). Pivots, more of them for larger tables, part them into cells; the
+vectors of a cell are packed in blocks of at most ``BLOCK``, those of queries and those of data apart. Let p(j) be
+the pivot of data cell j and s(j) the largest distance of its data to it (a block has such a radius of its own). Then
 
-    q . d  <=  p(i) . p(j) + |p(i)| s(j) + r(i) M(j)                      (bound of the pair of cells)
-    q . d  >=  p(i) . d - r(i) |d|                                        (of one vector)
+    q . d  <=  q . p(j) + |q| s(j)
 
-The k + 1 largest values of the second over all data (one is the query itself) give a score that the k-th neighbour
-of every query of cell i reaches; each task keeps k + 1 values a pivot, so the summaries have a fixed size. A pair of cells
-whose bound is below it falls out; a data block is replicated to the groups of query blocks that have some pair
-left with its cell, once each. A group solves locally, by matrix products of whole blocks, skipping blocks that
-can't reach its queries' k-th score so far, and its best k are merged by query.
+bounds the scores of a whole cell for a query. The other side is a floor: the scores of a fixed number of
+data vectors, known to all tasks, give every query a score that its k-th neighbour reaches. Cells whose bound stays below
+the floor of every query of a group fall out; the data of the others are replicated to that group. A group holds at
+most ``GROUP`` queries and its data are dealt out in slabs of about ``SLAB`` vectors, so no task grows with the table.
+Each (group, slab) solves locally, by matrix products of the block's vectors with those queries whose bound for the block
+reaches their k-th score so far; the best k of its slabs are merged by query.
 
 Defined results: vectors null, empty, of another length than most of the sample, or with null or non-finite
-components take no part, nor do null ids; equal scores go to the smaller id; a query's own id is never its
-neighbour (rows that repeat an id included); repeated rows of one id and score count once; fewer candidates than k
-give all of them. Sums beyond 2**53 are taken in 64-bit integers.
+components take no part, nor do null ids, nor vectors so long that a score might not fit in 64 bits; equal scores go to
+the smaller id; a query's own id is never its neighbour (rows that repeat an id included); repeated rows of one id and
+score count once; fewer candidates than k give all of them; an empty table gives an empty one; further columns don't
+matter. Sums beyond 2**53 are taken in 64-bit integers.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import Scratch, prepare
 
-K, SCALE, PIVOTS, SAMPLE, BLOCK, GROUP = 20, 64, 48, 4096, 2048, 2048
+K, SCALE, SAMPLE, BLOCK, GROUP = 20, 64, 4096, 2048, 2048
+NONE = -(1 << 63) + 1  # no score; its negative fits too
+#: Data vectors of a slab, about; vectors that a packing task holds; fewest and most pivots.
+SLAB, HELD, PIVOTS = 1 << 18, 1 << 16, (48, 512)
 BLOCKS = "side int, cell int, block long, n int, ids binary, vectors binary, norm double, radius double"
 
 
@@ -40,7 +44,8 @@ def quantized(column: pa.Array, dim: int, scale: int = SCALE):
         return rows, np.zeros((0, dim), np.int64)
     flat = pa.compute.list_flatten(column.take(pa.array(rows)))
     x = np.asarray(flat.cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), dim)
-    good = np.isfinite(x).all(1)
+    with np.errstate(invalid="ignore"):
+        good = np.isfinite(x).all(1) & (np.abs(x * scale) < (2**62 // dim) ** 0.5 - 1).all(1)
     return rows[good], np.floor(scale * x[good]).astype(np.int64)
 
 
@@ -61,18 +66,22 @@ def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
 def _pack(pivots, dim, every):
     def run(batches):
         held: dict[tuple[int, int], list] = {}
+        size: dict[tuple[int, int], int] = {}
         serial = 0
 
         def flush(key):
             nonlocal serial
-            ids, x = np.concatenate([a for a, _ in held[key]]), np.concatenate([b for _, b in held[key]])
-            order = np.argsort(ids, kind="stable")
+            parts = held.pop(key)
+            size.pop(key)
+            ids, x = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+            order = np.lexsort((*x.T[::-1], ids))
             ids, x = ids[order], x[order]
+            new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)))  # repeated rows once
+            ids, x = ids[new], x[new]
             far = np.sqrt(((x - pivots[key[1]]) ** 2).sum(1)).max()
             serial += 1
-            small = np.int16 if len(x) and np.abs(x).max() < 2**15 else np.int64
+            small = np.int16 if np.abs(x).max(initial=0) < 2**15 else np.int64
             row = [key[0], key[1], serial, len(ids), ids.tobytes(), x.astype(small).tobytes(), float(np.sqrt((x.astype(float) ** 2).sum(1)).max()), float(far)]
-            held.pop(key)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64()], strict=True)], ["side", "cell", "block", "n", "ids", "vectors", "norm", "radius"])
 
         for batch in batches:
@@ -90,9 +99,12 @@ def _pack(pivots, dim, every):
                     for i in range(0, len(at), BLOCK):
                         part = at[i : i + BLOCK]
                         key = (side, int(c))
-                        if sum(len(a) for a, _ in held.get(key, [])) + len(part) > BLOCK:
+                        if size.get(key, 0) + len(part) > BLOCK:
                             yield flush(key)
                         held.setdefault(key, []).append((ids[part], x[part]))
+                        size[key] = size.get(key, 0) + len(part)
+            while sum(size.values()) > HELD:
+                yield flush(max(size, key=size.get))
         for key in list(held):
             yield flush(key)
 
@@ -103,17 +115,38 @@ def _matrix(blob: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(blob, np.int16 if len(blob) == 2 * n * dim else np.int64).reshape(n, dim)
 
 
-def _bounds(pivots, dim, radius, k):
-    """The k + 1 largest of ``p . d - r |d|`` for each pivot with queries."""
+def floors(q: np.ndarray, q_ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th neighbour of each query reaches: its k-th best among the sample, itself left out."""
+    if len(sample) <= k:
+        return np.full(len(q), NONE)
+    s = products(q, sample)
+    s[q_ids[:, None] == sample_ids[None]] = NONE
+    return -np.partition(-s, k - 1, 1)[:, k - 1]
+
+
+def reach(q: np.ndarray, pivot: np.ndarray, radius) -> np.ndarray:
+    """What no score of a query with a vector that is within radius of the pivot exceeds; a little more, for rounding."""
+    x = q.astype(float)
+    top = x @ pivot + np.sqrt((x * x).sum(1)) * radius
+    return top + 1e-9 * np.abs(top) + 1
+
+
+def _needs(pivots, dim, radius, known, k):
+    """(g, part, cell) of the data cells that some query of the block may have neighbours in."""
 
     def run(batches):
-        best = np.full((len(pivots), k + 1), -np.inf)
+        sample, sample_ids = known.value
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = _matrix(blob, n, dim).astype(float)
-                low = pivots @ x.T - radius[:, None] * np.sqrt((x * x).sum(1))[None]
-                best = -np.sort(-np.concatenate((best, low), 1), 1)[:, : k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pivots)), pa.int32()), pa.array(best.tolist(), pa.list_(pa.float64()))], ["cell", "best"])
+            out = [[], [], []]
+            for g, part, n, ids, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q = _matrix(blob, n, dim)
+                low = floors(q, np.frombuffer(ids, np.int64), sample, sample_ids, k)
+                for j in radius:
+                    if (reach(q, pivots[j], radius[j]) >= low).any():
+                        out[0].append(g)
+                        out[1].append(part)
+                        out[2].append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in out], ["g", "part", "cell"])
 
     return run
 
@@ -126,33 +159,36 @@ def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def best_of(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, n: int, k: int):
-    """The k best (row, id, score) of each row: high scores first, then small ids."""
+    """The k best (row, id, score) of each row: high scores first, then small ids; equal ones once."""
     order = np.lexsort((ids, -scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
+    if len(rows):
+        new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])))
+        rows, ids, scores = rows[new], ids[new], scores[new]
     start = np.searchsorted(rows, np.arange(n))
     keep = np.arange(len(rows)) - start[rows] < k
     return rows[keep], ids[keep], scores[keep]
 
 
-def _solve(dim, k):
+def _solve(pivots, dim, known, k):
     class State:
         def __init__(self, ids, x):
-            self.ids, self.x, self.norm = ids, x, np.sqrt((x.astype(float) ** 2).sum(1))
+            self.ids, self.x = ids, x
             self.rows = self.found = self.scores = np.zeros(0, np.int64)
-            self.floor = np.full(len(ids), np.iinfo(np.int64).min)
+            self.floor = floors(x, ids, *known.value, k)
 
-        def add(self, ids, x, norm):
+        def add(self, ids, x, pivot, radius):
+            repeated = len(np.unique(ids)) < len(ids)  # an id with several vectors: its scores may be equal
+            top = reach(self.x, pivot, radius)
             for i in range(0, len(self.ids), 512):
                 part = slice(i, i + 512)
-                # Cauchy-Schwarz with the block's largest norm, a little slack for rounding.
-                open_ = np.flatnonzero(self.norm[part] * norm * (1 + 1e-9) + 1 >= self.floor[part]) + i
+                open_ = np.flatnonzero(top[part] >= self.floor[part]) + i
                 if not len(open_):
                     continue
                 s = products(self.x[open_], x)
-                s_min = np.iinfo(np.int64).min
-                s[self.ids[open_][:, None] == ids[None]] = s_min
-                kth = -np.partition(-s, k - 1, 1)[:, k - 1] if s.shape[1] > k else np.full(len(open_), s_min)
-                r, c = np.nonzero((s >= np.maximum(kth, self.floor[open_])[:, None]) & (s > s_min))
+                s[self.ids[open_][:, None] == ids[None]] = NONE
+                kth = -np.partition(-s, k - 1, 1)[:, k - 1] if s.shape[1] > k and not repeated else np.full(len(open_), NONE)
+                r, c = np.nonzero((s >= np.maximum(kth, self.floor[open_])[:, None]) & (s > NONE))
                 if not len(r):
                     continue
                 # Columns ascend by id, so of equal scores in a block the first are the ones that count.
@@ -162,7 +198,7 @@ def _solve(dim, k):
                 self.rows, self.found, self.scores = np.concatenate((self.rows[~old], rows)), np.concatenate((self.found[~old], found)), np.concatenate((self.scores[~old], scores))
                 full = np.bincount(rows, minlength=len(self.ids)) == k
                 last = np.searchsorted(rows, np.flatnonzero(full), "right") - 1
-                self.floor[full] = scores[last]
+                self.floor[full] = np.maximum(self.floor[full], scores[last])
 
         def out(self):
             return pa.RecordBatch.from_arrays([pa.array(self.ids[self.rows]), pa.array(self.found), pa.array(self.scores)], ["query_id", "vec_id", "score"])
@@ -170,75 +206,70 @@ def _solve(dim, k):
     def run(batches):
         group, state = None, None
         for batch in batches:
-            for g, side, n, ids, blob, norm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, part, slab, side, cell, n, ids, blob, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, x = np.frombuffer(ids, np.int64), _matrix(blob, n, dim)
-                if g != group:
+                if (g, part, slab) != group:
                     if state is not None and len(state.rows):
                         yield state.out()
-                    group, state = g, None
+                    group, state = (g, part, slab), None
+                    queries = []
                 if side == 1:  # the queries come first; a query id on several rows of equal vectors is one query
-                    if state is not None:
-                        ids, x = np.concatenate((state.ids, ids)), np.concatenate((state.x, x))
-                    state = State(ids, x)
-                else:
-                    state.add(ids, x, norm)
+                    queries.append((ids, x))
+                elif queries:
+                    if state is None:
+                        state = State(np.concatenate([a for a, _ in queries]), np.concatenate([b for _, b in queries]))
+                    state.add(ids, x, pivots[cell], radius)
         if state is not None and len(state.rows):
             yield state.out()
 
     return run
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every`` (columns vec_id, embedding)."""
     spark = vectors.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "knn")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    total = vectors.count()
+    usable = vectors.where("embedding is not null and vec_id is not null")
+    total = usable.count()
     share = int(1_000_000 * min(1, SAMPLE / max(1, total)))
-    sample = vectors.where("embedding is not null and vec_id is not null").where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) <= share).select("embedding").limit(2 * SAMPLE).toPandas()
+    mark = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
+    sample = usable.where(mark <= share).dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id")).limit(2 * SAMPLE).toPandas()
     sizes = [len(v) for v in sample.embedding if len(v)]
     if not sizes:
         return empty
     dim = max(set(sizes), key=lambda n: (sizes.count(n), -n))
-    _, x = quantized(pa.array(list(sample.embedding), pa.list_(pa.float64())), dim)
-    if not len(x):
-        x = np.zeros((1, dim), np.int64)
-    p = choose_pivots(x, pivots)
+    rows, x = quantized(pa.array(list(sample.embedding), pa.list_(pa.float64())), dim)
+    sample_ids = sample.vec_id.to_numpy()[rows]
+    p = choose_pivots(x if len(x) else np.zeros((1, dim), np.int64), int(min(max(total**0.5 / 8, PIVOTS[0]), PIVOTS[1])))
+    known = spark.sparkContext.broadcast((x, sample_ids))  # at most 2 * SAMPLE vectors
     blocks = scratch.keep(vectors.mapInArrow(_pack(p, dim, every), BLOCKS), "blocks")
-    rows = blocks.groupBy("side", "cell").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"), F.max("radius").alias("radius")).collect()  # at most 2 * pivots
-    data, asked = {r.cell: r for r in rows if r.side == 0}, {r.cell: r for r in rows if r.side == 1}
+    cells = blocks.groupBy("side", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # at most 2 * pivots
+    data, asked = {r.cell: r for r in cells if r.side == 0}, {r.cell: r for r in cells if r.side == 1}
+    scratch.at_exit()
     if not asked:
-        scratch.at_exit()
         return empty
-    radius = np.array([asked[c].radius if c in asked else 0.0 for c in range(len(p))])
-    low = blocks.where("side = 0").select("n", "vectors").mapInArrow(_bounds(p, dim, radius, k), "cell int, best array<double>")
-    low = low.select("cell", F.explode("best").alias("v")).withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("v")))).where(f"i = {k + 1}").collect()
-    reach = {r.cell: r.v for r in low}
-    norm = np.sqrt((p * p).sum(1))
-    wanted = [(i, j) for i in asked for j in data if p[i] @ p[j] + norm[i] * data[j].radius + radius[i] * data[j].norm + 1e-6 * (1 + abs(reach[i])) >= reach[i] or reach[i] == -np.inf]
-    # Groups: whole query cells together up to GROUP queries, a larger cell in several groups.
-    groups: dict[int, list[int]] = {}
-    load = GROUP + 1
+    # Groups: whole query cells together up to GROUP queries, a larger cell in several parts.
+    home: dict[int, int] = {}
+    load, g = GROUP + 1, -1
     for i in sorted(asked):
         if load + asked[i].n > GROUP:
-            groups[len(groups)] = []
-            load = 0
-        groups[len(groups) - 1].append(i)
+            g, load = g + 1, 0
+        home[i] = g
         load += asked[i].n
-    home = {i: g for g, cells in groups.items() for i in cells}
-    pairs = sorted({(home[i], j) for i, j in wanted})
-    split = {g: max(1, -(-sum(asked[i].n for i in cells) // GROUP)) for g, cells in groups.items()}
-    # At most pivots * pivots rows: a table of fixed size.
-    to_query = spark.createDataFrame([(i, home[i], split[home[i]]) for i in asked], "cell int, g int, parts int")
-    to_data = spark.createDataFrame([(j, g, split[g]) for g, j in pairs] or [(-1, -1, 1)], "cell int, g int, parts int")
-    part = F.pmod(F.xxhash64("block", "ids"), F.col("parts"))
-    mine = blocks.where("side = 1").join(F.broadcast(to_query), "cell").withColumn("part", part)
-    theirs = blocks.where("side = 0").join(F.broadcast(to_data), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = mine.unionByName(theirs).withColumn("grp", F.concat_ws("-", "g", "part"))
-    both = both.repartition("grp").sortWithinPartitions("grp", F.desc("side"), F.desc("norm"), "ids")
-    found = both.select("grp", "side", "n", "ids", "vectors", "norm").mapInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
+    parts = {g: max(1, -(-sum(asked[i].n for i in asked if home[i] == g) // GROUP)) for g in set(home.values())}
+    # A row for each pivot: tables of fixed size.
+    to_query = spark.createDataFrame([(i, home[i], parts[home[i]]) for i in asked], "cell int, g int, parts int")
+    sizes = spark.createDataFrame([(j, data[j].n) for j in data], "cell int, of_cell long")
+    mine = blocks.where("side = 1").join(F.broadcast(to_query), "cell").withColumn("part", F.pmod(F.xxhash64("block", "ids"), F.col("parts")).cast("int")).drop("parts")
+    need = mine.select("g", "part", "n", "ids", "vectors").mapInArrow(_needs(p, dim, {j: data[j].radius for j in data}, known, k), "g int, part int, cell int").distinct()
+    need = scratch.keep(need, "need")
+    slabs = need.join(F.broadcast(sizes), "cell").groupBy("g", "part").agg(F.ceil(F.sum("of_cell") / SLAB).cast("int").alias("slabs"))
+    mine = mine.join(slabs, ["g", "part"]).withColumn("slab", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
+    theirs = blocks.where("side = 0").join(need.join(slabs, ["g", "part"]), "cell").withColumn("slab", F.pmod(F.xxhash64("block", "ids"), F.col("slabs")).cast("int"))
+    both = mine.unionByName(theirs).repartition("g", "part", "slab").sortWithinPartitions("g", "part", "slab", F.desc("side"), F.desc("norm"), "ids")
+    found = both.select("g", "part", "slab", "side", "cell", "n", "ids", "vectors", "radius").mapInArrow(_solve(p, dim, known, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scratch.at_exit()
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
