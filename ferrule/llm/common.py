@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 #: Rows of a few numbers (48 bytes, say) that a join may broadcast: some 50 MB.
 BROADCAST_ROWS = 1 << 20
+#: Tasks over which a join deals each key that may be hot.
+SALTS = 16
 
 
 def prepare(spark: SparkSession) -> None:
@@ -96,6 +98,14 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows joined with table, a table of few numbers a key: by broadcast if it is small, else with each key dealt over ``salts`` tasks."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(table, [*on, "_salt"], how).drop("_salt")
+
+
 def row_of(docs: DataFrame) -> DataFrame:
     """All columns of each row as one, ``row``; their names can't clash with what an operator adds."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
