@@ -9,16 +9,22 @@ the targets t: least squares ``(s - t)' W (s - t)`` by projected gradient,
 
 where W is the inverse of ``G[k, l] = sum(n[d] * p[d, k] * p[d, l]) / T``. In the metric that weighs documents by
 their words this is a step of length 1 = 1 / L. A step is one pass over the table of posteriors that sums as many
-numbers as there are domains; the rates of the last steps are written to the shared folder every few steps.
+numbers as there are domains; the rates of the last steps are written to the shared folder every few steps. The fit ends
+when the targets are met, when a step changes no share any more (they can't be met: the least squares are reached) or
+after ``STEPS``; where they are not met, it warns and tells the shares it has.
 
 Words are runs without space, A-Z lower-cased by the session's lower(). Defined results: null, empty and wordless
 texts have no words and the prior's posteriors; their rate follows from them alone. Repeated rows stay, with equal
 rates. Targets are scaled to sum 1; a domain without labelled rows has posterior 0 and its target can't be met;
-without any labelled row all rates are 1 and the domain is null.
+without any labelled row all rates are 1 and the domain is null; an empty table gives an empty one; texts of any length
+count whole; further columns don't matter.
 """
 
 from __future__ import annotations
 
+import warnings
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,26 +76,37 @@ def posteriors(docs: DataFrame, model, domains: list[str]) -> DataFrame:
     return sums.select("doc_id", "h", "copies", "n", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in ks])
 
 
-def fit_rates(table: DataFrame, targets: list[float], scratch: Scratch, steps: int = STEPS) -> DataFrame:
-    """The table with column rate. Sums over documents are made by the executors; only D and D * D numbers return."""
+class Report(NamedTuple):
+    """How a fit ended: steps taken, and the domains' shares of all words, expected and asked for."""
+
+    steps: int
+    shares: list[float]
+    targets: list[float]
+
+    @property
+    def met(self) -> bool:
+        return max((abs(a - b) for a, b in zip(self.shares, self.targets, strict=True)), default=0.0) < 100 * TOLERANCE
+
+
+def fit_rates(table: DataFrame, targets: list[float], scratch: Scratch, steps: int = STEPS) -> tuple[DataFrame, Report]:
+    """The table with column rate, and how the fit ended. Sums over documents are made by the executors; only D and D * D numbers return."""
     ks = range(len(targets))
     weight = F.col("n") * F.col("copies")
     pairs = [(k, j) for k in ks for j in ks if j >= k]
     first = table.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("t"), *[F.coalesce(F.sum(weight * F.col(f"p{k}") * F.col(f"p{j}")), F.lit(0.0)).alias(f"g{k}_{j}") for k, j in pairs]).first()
     total = first.t
     table = table.withColumn("rate", F.lit(1.0))
+    goal = np.array(targets) / sum(targets)
     if not total:
-        return table
+        return table, Report(0, [0.0] * len(targets), goal.tolist())
     g = np.zeros((len(targets), len(targets)))
     for k, j in pairs:
         g[k, j] = g[j, k] = first[f"g{k}_{j}"] / total
     inverse = np.linalg.pinv(g, rcond=1e-9)
-    goal = np.array(targets) / sum(targets)
-    last = None
-    written = None
-    for step in range(steps):
+    last = written = None
+    for step in range(steps + 1):
         s = np.array(table.agg(*[F.sum(weight * F.col("rate") * F.col(f"p{k}")).alias(f"s{k}") for k in ks]).first()) / total
-        if np.abs(s - goal).max() < TOLERANCE or last is not None and np.abs(s - last).max() < TOLERANCE / 100:
+        if step == steps or np.abs(s - goal).max() < TOLERANCE or last is not None and np.abs(s - last).max() < TOLERANCE / 100:
             break
         last = s
         pull = (inverse @ (s - goal)).tolist()
@@ -100,11 +117,11 @@ def fit_rates(table: DataFrame, targets: list[float], scratch: Scratch, steps: i
             written = table
             if old is not None:
                 scratch.drop(old)
-    return table
+    return table, Report(step, s.tolist(), goal.tolist())
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
-    """doc_id, h, copies, n_words, domain (likeliest), rate of each distinct document (doc_id, text)."""
+    """doc_id, h, copies, n_words, domain (likeliest), rate of each distinct document (doc_id, text). Warns if the targets are not met."""
     scratch = Scratch(docs.sparkSession, "mixing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     domains = sorted(targets)
@@ -115,7 +132,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         return rows.select("doc_id", "h", "copies", n.alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"))
     table = scratch.keep(posteriors(docs, model, domains), "posteriors")
     scratch.at_exit()
-    table = fit_rates(table, [float(targets[d]) for d in domains], scratch, steps)
+    table, report = fit_rates(table, [float(targets[d]) for d in domains], scratch, steps)
+    if not report.met:
+        warnings.warn(f"after {report.steps} steps the shares of {domains} are {report.shares}, not {report.targets}", stacklevel=2)
     most = F.greatest(*[F.col(f"p{k}") for k in range(len(domains))]) if len(domains) > 1 else F.col("p0")
     domain = F.coalesce(*[F.when(F.col(f"p{k}") == most, F.lit(d)) for k, d in enumerate(domains)])
     return table.select("doc_id", "h", "copies", F.col("n").alias("n_words"), domain.alias("domain"), "rate", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)])

@@ -289,6 +289,56 @@ def test_mixing(spark):
     assert mixing.mixing_rates(df.limit(0), labels, {"x": 1}).count() == 0
 
 
+def test_mixing_against_brute_force(spark):
+    """Naive Bayes by dictionaries, and the least squares by many steps on arrays."""
+    import math
+
+    r = random.Random(12)
+    kinds = {"x": ["aa", "bb", "cc", "shared"], "y": ["dd", "ee", "shared"], "z": ["ff", "gg", "aa"]}
+    texts = [" ".join(r.choices(kinds[r.choice("xyz")], k=r.randrange(1, 30)) + r.choices(["shared", "Aa", "new"], k=3)) for _ in range(150)] + [None, "", " \n\t", "zz " * 20_000]
+    rows = [(i, t, "w", 1, 2.0, 3) for i, t in enumerate(texts)]
+    rows += [rows[5]] * 4 + [(7, "aa bb", "w", 1, 2.0, 3), (None, "dd ee", "w", 1, 2.0, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string, copies int, rate double, n int").repartition(3)
+    owner = {i: "xyz"[i % 3] for i in range(60)}
+    labels = spark.createDataFrame([*owner.items(), (None, "x"), (200, "x")], "doc_id long, domain string")
+    targets = {"x": 0.5, "y": 0.2, "z": 0.3}
+    got = mixing.mixing_rates(df, labels, targets).toPandas()
+    words = lambda t: [w for w in re.split("[ \t\n\x0b\x0c\r]", (t or "").lower()) if w]
+    counts = {k: {} for k in kinds}
+    for i, t, *_ in rows:
+        for w in words(t) if i in owner else ():
+            counts[owner[i]][w] = counts[owner[i]].get(w, 0) + 1
+    sizes = {k: sum(counts[k].values()) for k in kinds}
+    labelled = [*owner.values(), "x"]
+    n, p, of = [], [], []
+    for i, t, *_ in rows:
+        s = [math.log(labelled.count(k) / len(labelled)) + sum(math.log((counts[k].get(w, 0) + 0.5) / (sizes[k] + 0.5 * (1 << mixing.BITS))) for w in words(t)) for k in sorted(kinds)]
+        e = [math.exp(v - max(s)) for v in s]
+        n.append(len(words(t)))
+        p.append([v / sum(e) for v in e])
+        of.append((i, t))
+    n, p, goal = np.array(n, float), np.array(p), np.array([0.5, 0.2, 0.3])
+    w = np.linalg.inv((p * n[:, None]).T @ p / n.sum())
+    rate = np.ones(len(n))
+    for _ in range(3000):
+        rate = np.maximum(0, rate - p @ (w @ ((rate * n) @ p / n.sum() - goal)))
+    by = {(x.doc_id if x.doc_id == x.doc_id else None, x.n_words, round(x.p_x, 6)): x for x in got.itertuples()}
+    assert len(got) == len(set(of)) and got.copies.sum() == len(rows)
+    for (i, _), size, own, want in zip(of, n, p, rate, strict=True):
+        x = by[i, int(size), round(own[0], 6)]
+        assert (x.p_x, x.p_y, x.p_z) == pytest.approx(tuple(own), abs=1e-9) and x.rate == pytest.approx(want, abs=1e-3)
+    shares = [(got.rate * got.n_words * got.copies * got[f"p_{k}"]).sum() / n.sum() for k in "xyz"]
+    assert shares == pytest.approx(goal, abs=1e-5)
+
+
+def test_mixing_tells_what_it_cannot_meet(spark):
+    df = spark.createDataFrame([(i, "aa bb") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "x") for i in range(6)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="shares of"):
+        out = mixing.mixing_rates(df, labels, {"x": 0.5, "y": 0.5})
+    assert out.count() == 1 * 6 and out.where("rate < 0").count() == 0
+
+
 def brute_urls(urls, rules, labels):
     """Host, path, rule, verdict, template, purity of each url, by plain loops."""
     out = []
