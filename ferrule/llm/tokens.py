@@ -18,7 +18,9 @@ kept in a bounded memo: plain parts piece by piece with the library's model, oth
 For another tokenizer, ``split=False`` gives it whole texts.
 
 Defined results: a null text is empty and has the end id alone; null doc_ids come first; rows with equal doc_id
-follow each other in order of their ids' bytes; extra columns are ignored.
+follow each other in order of a hash of their ids, and may lie in several partitions, however many they are; an empty
+table gives an empty set; extra columns are ignored. Id arrays of more than ``LONG`` bytes don't train the dictionary,
+which is for short ones.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import Scratch, prepare
 
 END_ID, SHARD_BYTES, MEMO = 1, 4 << 20, 1_000_000
+#: Bytes of ids of one partition, about, and of the longest sample.
+PART_BYTES, LONG = 64 << 20, 20_000
 #: Documents, about, that the dictionary is trained on (by hash of the id; at most twice as many) and its size.
 SAMPLE, DICTIONARY_BYTES, LEVEL = 2000, 64 << 10, 3
 SHARD_SCHEMA = "part int, shard int, first_id long, last_id long, n_docs long, n_ids long, dictionary_sha256 string, index binary, body binary"
@@ -235,13 +239,17 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
         scratch.at_exit()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = scratch.keep(docs.mapInArrow(_encode(path, split), "doc_id long, narrow binary, wide binary"), "ids")
-    share = int(1_000_000 * min(1, SAMPLE / max(1, ids.count())))
-    sample = ids.select("narrow", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h")).where(F.col("h") <= share).where(F.octet_length("narrow").between(1, 20_000)).orderBy("h", "narrow").limit(2 * SAMPLE).collect()
+    held = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.octet_length("narrow"), F.octet_length("wide"))), F.lit(0)).alias("bytes")).first()
+    share = int(1_000_000 * min(1, SAMPLE / max(1, held.n)))
+    sample = ids.select("narrow", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h")).where(F.col("h") <= share).where(F.octet_length("narrow").between(1, LONG)).orderBy("h", "narrow").limit(2 * SAMPLE).collect()
     dictionary = train([np.frombuffer(r.narrow, "<u2").astype("<u4").tobytes() for r in sample] or [b"\0" * 64])
     row = spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "bytes binary, sha256 string")
     row.coalesce(1).write.parquet(f"{root}/dictionary")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "narrow", "wide")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.bytes // PART_BYTES))
+    # Rows of one id are told apart by a hash, equal rows by their place in the table: no id fills a partition.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("at")]
+    parts = ids.withColumns({"tie": F.xxhash64("narrow", "wide"), "at": F.monotonically_increasing_id()})
+    parts = parts.repartitionByRange(n, *order).sortWithinPartitions(*order)
     parts = parts.select(F.spark_partition_id().alias("part"), "doc_id", "narrow", "wide")
     parts.mapInArrow(_write_shards(dictionary, LEVEL, SHARD_BYTES), SHARD_SCHEMA).write.parquet(f"{root}/shards")
     scratch.drop(ids)
