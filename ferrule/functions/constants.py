@@ -36,8 +36,13 @@ INTENT_MARKERS = ["завис", "ссыл", "влия", "использу", "с
 NODE_TYPES = ["Metadata", "Method", "Form"]
 EDGE_TYPES = ["REFERENCES", "HAS_METHOD", "HAS_FORM", "ATTRIBUTE_TYPE", "USES_IN_CODE", "HAS_RIGHT", "HAS_TEMPLATE"]
 DIRECTIVES = ["НаКлиентеНаСервереБезКонтекста", "НаСервереБезКонтекста", "НаКлиенте", "НаСервере", "AtClientAtServerNoContext", "AtServerNoContext", "AtClient", "AtServer"]
+# Vector size and input tokens of known models, in the order they are tried; sizes of one family by its scale.
 MODEL_DIMS = {
-    "nomic-embed-text-v2-moe": (768, 512), "nomic-embed-text": (768, 8192), "paraphrase-multilingual-minilm-l12-v2": (384, 512), "all-minilm-l6-v2": (384, 256),
-    "bge-m3": (1024, 8192), "bge-small-en-v1.5": (384, 512), "bge-base-en-v1.5": (768, 512), "bge-large-en-v1.5": (1024, 512),
-    "multilingual-e5-large": (1024, 512), "multilingual-e5-base": (768, 512),
+    "nomic-ai/nomic-embed-text-v1.5": (768, 8192), "nomic-ai/nomic-embed-text-v1": (768, 8192), "nomic-embed-text-v1.5": (768, 8192), "nomic-embed-text-v1": (768, 8192), "nomic-embed-text-v2-moe": (768, 512),
+    "sentence-transformers/paraphrase-multilingual-minilm-l12-v2": (384, 512), "paraphrase-multilingual-minilm-l12-v2": (384, 512), "sentence-transformers/all-minilm-l6-v2": (384, 256), "all-minilm-l6-v2": (384, 256),
+    "baai/bge-m3": (1024, 8192), "bge-m3": (1024, 8192), "baai/bge-small-en-v1.5": (384, 512), "baai/bge-base-en-v1.5": (768, 512), "baai/bge-large-en-v1.5": (1024, 512),
+    "intfloat/multilingual-e5-large": (1024, 512), "intfloat/multilingual-e5-base": (768, 512), "intfloat/multilingual-e5-small": (384, 512), "intfloat/e5-mistral-7b-instruct": (4096, 32768),
+    "jinaai/jina-embeddings-v3": (1024, 8192), "jinaai/jina-embeddings-v2-base-en": (768, 8192), "cohere/embed-multilingual-v3.0": (1024, 512), "cohere/embed-english-v3.0": (1024, 512),
+    "text-embedding-ada-002": (1536, 8191), "text-embedding-3-small": (1536, 8191), "text-embedding-3-large": (3072, 8191), "ibm-granite/granite-embedding-125m-english": (768, 512), "ibm-granite/granite-embedding-30m-english": (384, 512),
 }
+QWEN3_DIMS = {"0.6b": 1024, "1.7b": 2048, "4b": 2560, "8b": 4096}

@@ -135,7 +135,7 @@ def distance(a, b, metric: str = "cosine") -> Column:
     if metric == "l1":
         return total(F.zip_with(x, y, lambda p, q: F.abs(p - q)))
     dot = total(F.zip_with(x, y, lambda p, q: p * q))
-    return 1 - dot / (F.sqrt(total(F.transform(x, lambda p: p * p))) * F.sqrt(total(F.transform(y, lambda p: p * p))))
+    return 1 - F.try_divide(dot, F.sqrt(total(F.transform(x, lambda p: p * p))) * F.sqrt(total(F.transform(y, lambda p: p * p))))
 
 
 def toy_embedding(text, dim: int = 16) -> Column:

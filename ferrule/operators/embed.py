@@ -44,11 +44,8 @@ def http(url: str, model: str, timeout: int = 300, batch: int = 100, eos: str =
 
 
 def dimension(model: str, explicit: int = 0) -> int:
-    """Explicit; else the first known name within the model's; else by size in the name; else 768."""
-    if explicit > 0:
-        return explicit
-    low = model.lower()
-    for name, (dim, _) in K.MODEL_DIMS.items():
-        if name in low:
-            return dim
-    return next((d for mark, d in (("large", 1024), ("base", 768), ("small", 384), ("mini", 384), ("8b", 4096), ("4b", 2560), ("0.6b", 1024)) if mark in low), 768)
+    """Explicit; else that of the first known name within the model's; else of the Qwen3 family by scale (2560 unnamed); else 768."""
+    low = model.lower().strip()
+    known = (dim for name, (dim, _) in K.MODEL_DIMS.items() if name in low)
+    family = (dim for scale, dim in K.QWEN3_DIMS.items() if scale in low) if "qwen3" in low else ()
+    return explicit if explicit > 0 else next(known, None) or next(iter(family), 2560 if "qwen3" in low else 768)

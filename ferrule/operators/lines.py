@@ -22,20 +22,29 @@ def with_header(rows: DataFrame, file: str, header: Column, name: str = "in_meth
     return rows.withColumn(name, F.last(header, ignorenulls=True).over(w))
 
 
+def _last_part(x) -> Column:
+    return F.nullif(F.regexp_extract(x, HEADER, 1), F.lit(""))
+
+
 def grep(files: DataFrame, name: str, file: str = "file_path", text: str = "text", limit: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Whole-word, case-blind usages of a name with the method around them.
 
-    The line search runs inside the row of each file (files without the name drop out first, before anything is
-    exploded), so nothing is shuffled but the hits.
+    Files without the name drop out first. The others' lines are folded inside the row: the fold carries the last header
+    along and keeps the lines that hit, so no line is shuffled and rows of one file key never mix.
     """
     hit = T.usage_pattern(name)
     keep = [c for c in files.columns if c != text]
     whole = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
-    rows = files.where(F.col(text).rlike(hit)).withColumn("_lines", F.split(whole, "\n", -1))
-    header = F.nullif(F.regexp_extract(F.col("_line"), HEADER, 1), F.lit(""))
-    rows = rows.select(*keep, F.posexplode("_lines").alias("_n", "_line")).withColumn("line_number", F.col("_n") + 1)
-    rows = with_header(rows, file, header).where(F.col("_line").rlike(hit))
-    rows = rows.select(*keep, "line_number", T.line_content("_line").alias("line_content"), F.coalesce("in_method", F.lit("")).alias("in_method"))
+    start = F.expr("named_struct('n', 0, 'header', cast(null as string), 'hits', cast(array() as array<struct<line_number: int, line: string, header: string>>))")
+
+    def step(acc, line):
+        n, header = acc["n"] + 1, F.coalesce(_last_part(line), acc["header"])
+        one = F.array(F.struct(n.alias("line_number"), line.alias("line"), header.alias("header")))
+        return F.struct(n.alias("n"), header.alias("header"), F.when(line.rlike(hit), F.concat(acc["hits"], one)).otherwise(acc["hits"]).alias("hits"))
+
+    found = F.aggregate(F.split(whole, "\n", -1), start, step, lambda acc: acc["hits"])
+    rows = files.where(F.col(text).rlike(hit)).select(*keep, F.explode(found).alias("_hit"))
+    rows = rows.select(*keep, "_hit.line_number", T.line_content(F.col("_hit.line")).alias("line_content"), F.coalesce("_hit.header", F.lit("")).alias("in_method"))
     rows = rows.orderBy(*(order or [file]), "line_number") if limit else rows
     return rows.limit(limit) if limit else rows
 
