@@ -69,5 +69,11 @@ def form_items(forms: DataFrame) -> DataFrame:
 
 
 def embedded(items: DataFrame, embedder=T.toy_embedding) -> DataFrame:
-    """One row an item_id, with its vector; the embedder is any Column -> Column."""
-    return items.dropDuplicates(["item_id"]).withColumn("embedding", embedder(F.col("document")))
+    """One row an item_id, with its vector; the embedder is any Column -> Column.
+
+    Of rows that share an item_id the one of greatest (file_path, document) stays, whatever the order they come in.
+    """
+    rest = [c for c in items.columns if c != "item_id"]
+    order = F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in ("file_path", "document") if c in rest])
+    rows = items.groupBy("item_id").agg(F.max_by(F.struct(*rest), order).alias("v")).select("item_id", "v.*")
+    return rows.withColumn("embedding", embedder(F.col("document")))

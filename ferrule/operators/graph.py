@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import constants as K
@@ -68,14 +68,17 @@ def clamped(limit, default: int = 100, most: int = 500) -> int:
         return default
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, raw: str, incoming: bool, limit=100, strict: bool = False) -> DataFrame:
-    """object, node_id, edge_type one step away. The matched nodes filter the edges first; Spark sizes the joins itself."""
+def neighbours(nodes: DataFrame, edges: DataFrame, raw: str, incoming: bool, limit=100, strict: bool = False, ranked: bool = False) -> DataFrame:
+    """object, node_id, edge_type (and rank) one step away. The matched nodes filter the edges first; Spark sizes the joins itself."""
     here, there = ("target", "source") if incoming else ("source", "target")
     found = nodes.where(matches(raw, strict)).select(F.col("id").alias(here))
     near = edges.join(found, here, "left_semi").select(F.col(there).alias("id"), "edge_type")
     near = near.join(nodes, "id").select("id", "name", "object_type", "object_name", "edge_type").distinct()
     label = F.concat("object_type", F.lit("."), F.coalesce(F.nullif(F.col("object_name"), F.lit("")), F.col("name")))
-    return near.orderBy("edge_type", "name", "id").limit(clamped(limit)).select(label.alias("object"), F.col("id").alias("node_id"), "edge_type")
+    order = ["edge_type", "name", "id"]
+    near = near.orderBy(*order).limit(clamped(limit))
+    rank = [F.row_number().over(Window.orderBy(*order)).alias("rank")] if ranked else []  # at most 500 rows
+    return near.select(label.alias("object"), F.col("id").alias("node_id"), "edge_type", *rank)
 
 
 def counts(rows: DataFrame, column: str) -> DataFrame:

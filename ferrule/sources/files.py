@@ -110,12 +110,11 @@ def forms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def dump_info(spark: SparkSession, root: str) -> DataFrame:
-    """One row a descriptor Configuration.xml at the root: kind, name, validity."""
-    text = tree(spark, root, "Configuration.xml").where("rel = 'Configuration.xml'")
-    o = parse_xml.object_of(F.col("text"), F.lit(""))
-    x = text.withColumn("o", o)
-    extension = (F.col("o.child_type") == "ConfigurationExtension") | F.contains("text", F.lit("ConfigurationExtensionPurpose"))
-    return x.select(F.lit(root).alias("config_root"), (F.col("o").isNotNull() & F.col("o.child_type").isin("Configuration", "ConfigurationExtension")).alias("valid"), F.coalesce(extension, F.lit(False)).alias("is_extension"), F.coalesce("o.name", F.lit("")).alias("configuration_name"), F.col("o.child_type").alias("root_element"))
+    """One row: whether Configuration.xml at the root is valid, what it says, the parser's complaint. A missing one is not valid."""
+    text = tree(spark, root, "Configuration.xml").where("rel = 'Configuration.xml'").select(parse_xml.root_of(F.col("text")).alias("o"))
+    none = F.struct(F.lit(False).alias("valid"), F.lit(False).alias("is_extension"), F.lit("").alias("configuration_name"), F.lit("").alias("root_element"), F.lit(None).cast("string").alias("error"))
+    one = text.agg(F.coalesce(F.first("o"), none).alias("o"))
+    return one.select(F.lit(root).alias("config_root"), "o.*")
 
 
 def split_paths(text: str | None) -> list[str]:

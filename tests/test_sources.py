@@ -2,13 +2,13 @@
 
 import pytest
 
-from ferrule.operators import graph
+from ferrule.operators import graph, lines
 from ferrule.plans import index
 from ferrule.plans.settings import Settings, parse_env
-from ferrule.plans.tools import Store
+from ferrule.plans.tools import TOOLS, Store
 from ferrule.sources import files
 from ferrule.sources.parse_code import parse_module
-from ferrule.sources.parse_xml import parse_object, parse_rights, parse_template
+from ferrule.sources.parse_xml import parse_object, parse_rights, parse_root, parse_template
 
 MODULE = """﻿Перем Итог;
 // Считает товар
@@ -80,6 +80,105 @@ def test_index_and_tools(spark, root, tmp_path):
     assert Store(spark, {}).graph_dependencies("X").count() == 0
     with pytest.raises(ValueError):
         store.search_code(" ")
+    # Tools by name, usages with what the graph adds, the question flow.
+    import json
+
+    assert json.loads(store.respond("nothing")) == {"error": "unknown tool: nothing"}
+    assert "query" in json.loads(store.respond("search_1c_code", {"query": " "}))["error"]
+    assert json.loads(store.respond("search_1c_code", {"query": "посчитать", "limit": 1}))["total_results"] == 1
+    assert TOOLS["search_1c_code"].schema()["required"] == ["query"] and "enum" in TOOLS["search_1c_metadata"].schema()["properties"]["object_type"]
+    rows = store.call("find_1c_method_usage", {"method_name": "Найти"})[0].collect()
+    assert [(r.source, r.in_method, r.line_number) for r in rows if r.source == "grep"] == [("grep", "Посчитать", 5)]
+    used = store.method_usage("Товары").collect()
+    assert {r.source for r in used} >= {"grep", "graph"} and not {r.object for r in used if r.source == "graph"} & {r.object for r in used if r.source == "grep"}
+    bare = Store(spark, store.tables)
+    assert [r.source for r in bare.find_method_usage("Посчитать").collect()] == ["vector"]
+    seen = []
+    answer = store.ask("где используется товары", lambda m: seen.append(m) or "да", use_graph=None)
+    assert answer["answer"] == "да" and answer["has_context"] and seen[0][0]["role"] == "system"
+    assert "== ОБЪЕКТЫ МЕТАДАННЫХ ==\n- " in answer["context"] and "  ```bsl\n" in answer["context"] and "элементов: 2" in answer["context"]
+    assert Store(spark, {}).context("x") == "" and Store(spark, {}).search_code("x").columns == store.search_code("x").columns
+    found = json.loads(store.respond("search_by_object_name", {"object_name": "Товары"}))
+    assert {"object"} <= {r["part"] for r in found["results"]} <= {"object", "code"}
+
+
+def test_context(spark):
+    from ferrule.plans.tools import context
+
+    objects = spark.createDataFrame([(1, i, "Catalogs", f"О{i}", "син" if i == 1 else "", "о" * 400 if i == 1 else None, "/f" if i == 1 else "") for i in range(1, 11)], "question_id int, rank int, type string, name string, synonym string, description string, file_path string")
+    code = spark.createDataFrame([(1, i, "Catalogs.А", "М" if i == 1 else "", "м" if i == 1 else None, "", "к" * 1300 if i == 1 else "", None) for i in range(1, 9)], "question_id int, rank int, object string, module string, method string, signature string, code string, file_path string")
+    forms = spark.createDataFrame([(1, i, f"Ф{i}", "Catalogs.А", i) for i in range(1, 8)], "question_id int, rank int, form_name string, object string, elements_count int")
+    near = spark.createDataFrame([(1, i, "О1", side, f"Documents.Д{i}", "REFERENCES") for side in ("dependencies", "references") for i in range(1, 31)], "question_id int, rank int, asked string, side string, object string, edge_type string")
+    text = context(objects, code, forms, near).first().context
+    assert text.startswith("== ОБЪЕКТЫ МЕТАДАННЫХ ==\n- Catalogs.О1 (син)\n  Описание: " + "о" * 297 + "...\n  Файл: /f\n- Catalogs.О2\n") and "О8" in text and "О9" not in text
+    assert "== ФРАГМЕНТЫ КОДА ==\n- Catalogs.А / М / м\n  ```bsl\n" + "к" * 1197 + "...\n  ```\n- Catalogs.А\n" in text and text.count("- Catalogs.А\n") == 5
+    assert "== ФОРМЫ ==\n- Ф1 (Catalogs.А), элементов: 1\n" in text and "Ф6" not in text
+    assert "== ГРАФ ЗАВИСИМОСТЕЙ для 'О1' ==\nНа объект ссылаются (зависят от него):\n  - Documents.Д1 [REFERENCES]\n" in text and text.count("Д25 [") == 2 and "Д26" not in text
+    assert len(context(objects, code, forms, near, budget=100).first().context) == 100
+    assert "ГРАФ" not in context(objects, code, forms, near.limit(0)).first().context
+
+
+def test_index_versions(spark, root, tmp_path):
+    where = str(tmp_path / "store")
+    first = index.build(spark, where, root, version="v1")
+    again = index.build(spark, where, root, version="v1")  # goes on where it was: nothing is written anew
+    assert {k: v for k, v in first.items() if k.endswith("_count")} == {k: v for k, v in again.items() if k.endswith("_count")}
+    manifest = index.Manifest(spark, where)
+    assert manifest.version == "v1" and manifest.tables["code"] == {"main": "code/main/v1"}
+    third = index.build(spark, where, root, only=[], version="v2")  # no source: items stay, the graph is built again
+    assert third["code_count"] == first["code_count"] and index.Manifest(spark, where).tables["code"] == {"main": "code/main/v1"}
+    assert index.Manifest(spark, where).tables["nodes"] == {"": "nodes/all/v2"}
+    assert index.restore(spark, where) == "v1" and index.Manifest(spark, where).tables["nodes"] == {"": "nodes/all/v1"}
+    t = index.read(spark, where)
+    staged = str(tmp_path / "staged")
+    assert index.stage_csv(t["nodes"], t["edges"], staged) == {"nodes_count": first["nodes_count"], "edges_count": first["edges_count"]}
+    out = index.rebuild(spark, staged, where)
+    assert (out["nodes_count"], out["edges_count"], out["backup"]) == (first["nodes_count"], first["edges_count"], "v1")
+    back = index.read(spark, where)
+    for name in ("nodes", "edges"):
+        assert sorted(map(tuple, back[name].select(*t[name].columns).collect())) == sorted(map(tuple, t[name].collect()))
+    with pytest.raises(FileNotFoundError):
+        index.rebuild(spark, str(tmp_path / "none"), where)
+    index.clear(spark, where)
+    assert index.read(spark, where)["code"] is None
+
+
+def test_root_descriptor(spark, root, tmp_path):
+    info = files.dump_info(spark, root).first()
+    assert (info.valid, info.is_extension, info.configuration_name, info.root_element, info.error) == (True, False, "Учёт", "MetaDataObject", None)
+    ext = "<MetaDataObject><ConfigurationExtension><Properties><Name>Р</Name></Properties></ConfigurationExtension></MetaDataObject>"
+    assert parse_root(ext) == {"valid": True, "is_extension": True, "configuration_name": "Р", "root_element": "MetaDataObject", "error": None}
+    assert parse_root("<Configuration><x/></Configuration>")["valid"] and parse_root("<a><b><ConfigurationExtension/></b></a>")["is_extension"]
+    assert not parse_root("<a")["valid"] and parse_root("<a")["error"]
+    assert not files.dump_info(spark, str(tmp_path)).first().valid
+
+
+def test_templates():
+    cells = "".join(f"<c><content>т{i}  я</content></c>" for i in range(300))
+    t = parse_template(f"<document>{cells}<parameter>П</parameter><parameter>Пар</parameter><namedItem><name>Шапка</name></namedItem></document>")
+    assert t["kind"] == "SpreadsheetDocument" and len(t["cell_texts"]) == 250 and t["cell_texts"][0] == "т0 я" and t["parameters"] == ["Пар"] and t["named_areas"] == ["Шапка"]
+    assert parse_template("нет разметки " * 2000) | {"body_text": ""} == parse_template("x") | {"body_text": ""} and len(parse_template("нет разметки " * 2000)["body_text"]) == 8000
+    assert parse_template("просто", "TextDocument")["kind"] == "TextDocument" and parse_template(" ") is None and parse_template("<DataCompositionSchema") is None
+    assert parse_template("<a><b>один</b><c>два</c><c>два</c></a>")["body_text"] == "один\nдва"
+    s = parse_template("<DataCompositionSchema><DataSetField><dataPath>А</dataPath><name>Б</name></DataSetField><field><name>А</name></field><calcParameter><name>П</name></calcParameter><dataSet><x/><name>1</name><name>2</name></dataSet></DataCompositionSchema>")
+    assert (s["fields"], s["parameters"], s["data_sets"]) == (["А", "Б"], ["П"], ["1"])
+
+
+def test_model_dimensions():
+    from ferrule.operators.embed import dimension
+
+    for name, dim in (("text-embedding-3-large", 3072), ("text-embedding-3-small", 1536), ("text-embedding-ada-002", 1536), ("Qwen3-Embedding-1.7B", 2048), ("qwen3-embedding", 2560), ("intfloat/e5-mistral-7b-instruct", 4096), ("jinaai/jina-embeddings-v3", 1024), ("cohere/embed-english-v3.0", 1024), ("ibm-granite/granite-embedding-30m-english", 384), ("something-large", 768), ("BAAI/bge-m3", 1024)):
+        assert dimension(name) == dim
+    assert dimension("x", 5) == 5
+
+
+def test_grep_keeps_files_apart(spark):
+    code = "Процедура {}()\n Вызов();\nКонецПроцедуры\r\n\r\nвызов() // и ВЫЗОВ\nНеВызов()"
+    df = spark.createDataFrame([("a.bsl", code.format("Один")), ("a.bsl", code.format("Два")), ("b.bsl", "Вызов()")], "file_path string, text string")
+    got = sorted((r.file_path, r.line_number, r.line_content, r.in_method) for r in lines.grep(df, "Вызов").collect())
+    assert got == [("a.bsl", 2, "Вызов();", "Два"), ("a.bsl", 2, "Вызов();", "Один"), ("a.bsl", 5, "вызов() // и ВЫЗОВ", "Два"), ("a.bsl", 5, "вызов() // и ВЫЗОВ", "Один"), ("b.bsl", 1, "Вызов()", "")]
+    assert "Exchange" not in lines.grep(df, "Вызов")._jdf.queryExecution().executedPlan().toString()
+    assert lines.grep(df, "вызов", limit=2).count() == 2
 
 
 def test_graph_rules(spark):
