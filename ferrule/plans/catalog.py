@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions import constants as K
 from ferrule.functions import text as T
-from ferrule.operators import graph, lines, search
-from ferrule.plans.tools import context
+from ferrule.operators import documents, graph, lines, search
+from ferrule.plans.tools import Store, context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,10 +66,10 @@ def knn_prefilter(spark, d):
 
 
 @query("""select query_id, vec_id, cast(r as integer) as rank, round(d, 6) distance from (select *, row_number() over (partition by query_id order by d, vec_id) r from (
-select q.vec_id query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) d from embeddings e, (select * from embeddings where vec_id < 5) q)) where r <= 10""")
+select q.vec_id query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) d from embeddings e, (select * from embeddings where vec_id % 50 = 0) q)) where r <= 10""")
 def knn_batched_topk(spark, d):
     e = t(spark, d, "embeddings")
-    hits = search.knn_batch(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, key="vec_id")
+    hits = search.knn_batch(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, key="vec_id")
     return hits.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -86,13 +87,6 @@ sc as (select tf.doc_id, sum(case when raw < 0 then least else raw end * tf * 2.
 scores as (select sizes.doc_id, coalesce(s, 0.0) bm25 from sizes left join sc on sizes.doc_id = sc.doc_id)"""
 
 
-_FIRST = "select doc_id, text from documents where doc_id < 200"
-
-
-def _candidates(spark, d):
-    return t(spark, d, "documents").where("doc_id < 200").select("doc_id", "text")
-
-
 @query(f"with {_bm25_sql('select doc_id, text from documents')} select doc_id, round(bm25, 6) bm25 from scores")
 def bm25_scores(spark, d):
     return search.bm25(t(spark, d, "documents").select("doc_id", "text"), _TERMS, "doc_id", "text").select("doc_id", F.round("bm25", 6).alias("bm25"))
@@ -103,12 +97,14 @@ def bm25_topk(spark, d):
     return search.bm25(t(spark, d, "documents").select("doc_id", "text"), _TERMS, "doc_id", "text").orderBy(F.desc("bm25"), "doc_id").limit(10).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
-_HITS = f"select e.vec_id doc_id, text, {_COS} d from embeddings e join documents on vec_id = doc_id, {_Q} order by d, e.vec_id limit 50"
+_HITS = f"select k.doc_id, text, d from (select vec_id doc_id, {_COS} d from embeddings, {_Q} order by d, vec_id limit 50) k join documents on k.doc_id = documents.doc_id"
 
 
 def _hits(spark, d):
-    items = t(spark, d, "embeddings").join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return search.knn(items, vector_of(spark, d), search.fetch_size(10, False), key="vec_id").select(F.col("vec_id").alias("doc_id"), "text", "distance")
+    """The k nearest first, then their texts."""
+    e, texts = t(spark, d, "embeddings"), t(spark, d, "documents").select("doc_id", "text")
+    near = search.knn(e, vector_of(spark, d), search.fetch_size(10, False), key="vec_id").select(F.col("vec_id").alias("doc_id"), "distance")
+    return texts.join(F.broadcast(near), "doc_id")  # k rows
 
 
 @query(f"with h as ({_HITS}), {_bm25_sql('select doc_id, text from h')}, top as (select max(bm25) top from scores) select h.doc_id, round(0.7 * least(1.0, greatest(0.0, 1 - d)) + 0.3 * bm25 / case when top > 0 then top else 1 end, 6) score from h join scores on h.doc_id = scores.doc_id, top")
@@ -116,7 +112,13 @@ def hybrid_rerank(spark, d):
     return search.hybrid(_hits(spark, d), _TERMS, 0.7, "doc_id", "text").select("doc_id", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
-@query()
+@query(f"""with recursive h as materialized (select doc_id, d, list_distinct({_TOK}) w, row_number() over (order by d, doc_id) i from ({_HITS})),
+alike as materialized (select a.i, b.i j, len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) s from h a join h b on a.i <> b.i),
+r as (select 0 step, cast([] as bigint[]) chosen
+union all select step + 1, list_append(chosen, (select g.i from (select h.i, greatest(-1.0, 0.7 * (1 - h.d) - 0.3 * coalesce(max(case when list_contains(chosen, alike.j) then alike.s end), 0.0)) v
+    from h left join alike on alike.i = h.i where not list_contains(chosen, h.i) group by h.i, h.d) g order by g.v desc, g.i limit 1)) from r where step < 10),
+c as (select unnest(chosen) i, unnest(range(1, 11)) k from r where step = 10)
+select cast(k as integer) as rank, doc_id, round(1 - d, 3) relevance from c join h on c.i = h.i""")
 def mmr_select(spark, d):
     return search.formatted(search.mmr(_hits(spark, d), 10, 0.7, "doc_id", "text"), "doc_id").select("rank", "doc_id", "relevance")
 
@@ -126,10 +128,19 @@ def tokenize(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(T.tokens("text")).alias("n_tokens"))
 
 
-@query(f"with x as (select doc_id, list_distinct({_TOK}) w from documents where doc_id < 50) select a.doc_id a, b.doc_id b, round(len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))), 6) jaccard from x a join x b on a.doc_id < b.doc_id")
+@query(f"with x as (select doc_id, list_distinct({_TOK}) w from documents) select a.doc_id a, b.doc_id b, round(len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))), 6) jaccard from x a join x b on b.doc_id = a.doc_id + 1")
 def jaccard_pairs(spark, d):
-    x = t(spark, d, "documents").where("doc_id < 50").select("doc_id", F.array_distinct(T.tokens("text")).alias("w"))  # one selection's candidates: at most 200 texts
-    return x.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")).join(x.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), F.col("a") < F.col("b")).select("a", "b", F.round(T.jaccard("wa", "wb"), 6).alias("jaccard"))
+    """Each document with the next one."""
+    x = t(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens("text")).alias("w"))
+    return x.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")).join(x.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), F.col("b") == F.col("a") + 1).select("a", "b", F.round(T.jaccard("wa", "wb"), 6).alias("jaccard"))
+
+
+@query("select cast(row_number() over (order by l.doc_id) as integer) as rank, l.doc_id, 1.0::double relevance from labels l join documents d on l.doc_id = d.doc_id where l.toxic = 1 and l.quality = 0 order by l.doc_id limit 20")
+def by_object_name(spark, d):
+    """Items of one name exactly, in order of their key."""
+    kinds = t(spark, d, "labels").select("doc_id", F.concat_ws("-", "toxic", "quality").alias("object_name"))
+    items = t(spark, d, "documents").select("doc_id").join(kinds, "doc_id")
+    return search.by_object(items, "1-0", 20, "doc_id").select("rank", "doc_id", "relevance")
 
 
 # ------------------------------------------------------------------ text
@@ -205,13 +216,13 @@ def identifier_parse(spark, d):
     return p.withColumn("i", T.identifier(raw)).select("p_partkey", "i.*")
 
 
-_CODE = "'x = Справочники.' || replace(split_part(text, ' ', 1), '.', '') || '; документы.Заказ; Справочники.А1'"
+_CODE = "replace(replace(text, ' the ', ' Справочники.'), ' and ', '; документы.')"
 
 
 @query(f"""select doc_id, list_reduce(list_prepend([]::varchar[], list_transform(regexp_extract_all({_CODE}, '(?i)(Справочники|Документы)\\.([\\p{{L}}\\p{{M}}\\p{{N}}_]+)'), lambda m: [case lower(split_part(m, '.', 1)) when 'справочники' then 'Catalogs' else 'Documents' end || '.' || split_part(m, '.', 2)])),
 lambda a, x: case when list_contains(a, x[1]) then a else list_concat(a, x) end) refs_list from documents""".replace("refs_list from", "refs from"))
 def code_references(spark, d):
-    code = F.concat(F.lit("x = Справочники."), F.replace(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("."), F.lit("")), F.lit("; документы.Заказ; Справочники.А1"))
+    code = F.replace(F.replace("text", F.lit(" the "), F.lit(" Справочники.")), F.lit(" and "), F.lit("; документы."))
     return t(spark, d, "documents").select("doc_id", F.transform(T.code_references(code), lambda r: F.concat(r["ref_type"], F.lit("."), r["ref_name"])).alias("refs"))
 
 
@@ -239,9 +250,11 @@ def rights_target(spark, d):
     return t(spark, d, "orders").withColumn("r", T.rights_target(ref)).select("o_orderkey", "r.object_name", "r.object_type")
 
 
-@query("select page_id, case when contains(lower(substr(html, 1, 8000)), '<html') then 'HTMLDocument' else 'Template' end kind from pages where not contains(lower(substr(html, 1, 8000)), 'spreadsheet')")
+@query("""select page_id, case when contains(h, 'datacompositionschema') or contains(h, 'data-composition-system') then 'DataCompositionSchema' when contains(h, 'spreadsheet') then 'SpreadsheetDocument'
+when contains(h, '<html') or contains(h, 'htmldocument') or contains(h, 'text/html') then 'HTMLDocument' when contains(h, 'geographicalschema') then 'GeographicalSchema' when contains(h, 'graphicalschema') then 'GraphicalSchema'
+when contains(h, 'activedocument') then 'ActiveDocument' else 'Template' end kind from (select page_id, lower(substr(html, 1, 8000)) h from pages)""")
 def template_kind(spark, d):
-    return t(spark, d, "pages").where("not contains(lower(substr(html, 1, 8000)), 'spreadsheet')").select("page_id", T.template_kind("html", F.lit("html"), F.lit("")).alias("kind"))
+    return t(spark, d, "pages").select("page_id", T.template_kind("html", F.lit("html"), F.lit("")).alias("kind"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') k from events")
@@ -249,9 +262,9 @@ def json_extra(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("select vec_id, cast(len(e) as integer) dim, round(list_sum(e)::double, 4) total from (select doc_id vec_id, list_transform(range(16), lambda k: coalesce(list_sum(list_transform(range(k, length(text), 16), lambda i: (unicode(substr(text, cast(i + 1 as bigint), 1)) % 17) / 17.0)), 0) + case when k = 0 then 1 else 0 end) e from (select doc_id, substr(text, 1, 200) text from documents))")
+@query("select vec_id, cast(len(e) as integer) dim, round(list_sum(e)::double, 4) total from (select doc_id vec_id, (list_transform(range(16), lambda k: coalesce(list_sum(list_transform(range(k, length(text), 16), lambda i: (unicode(substr(text, cast(i + 1 as bigint), 1)) % 17) / 17.0)), 0) + case when k = 0 then 1 else 0 end)).list_transform(lambda x: x::float::double) e from documents)")
 def toy_embedding(spark, d):
-    e = t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), T.toy_embedding(F.substring("text", 1, 200)).alias("e"))
+    e = t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), T.toy_embedding("text").alias("e"))
     return e.select("vec_id", F.size("e").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
@@ -344,61 +357,98 @@ def graph_drop_dangling(spark, d):
 
 @query("select o_orderkey from orders join customer on o_custkey = c_custkey where c_nationkey < 5 or c_mktsegment in ('BUILDING', 'MACHINERY')")
 def known_or_fallback(spark, d):
-    c = t(spark, d, "customer")
-    known = c.where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey")).withColumn("known", F.lit(True))
-    o = t(spark, d, "orders").join(known, "o_custkey", "left").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    return o.where(F.col("known") | F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("o_orderkey")
+    """References of orders to customers: those known, and those of types that are trusted unseen."""
+    kind = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), K.FALLBACK_TYPES[0]).otherwise("Odd")
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), kind.alias("ref_type"), F.col("c_custkey").cast("string").alias("ref_name"), "c_nationkey")
+    known = c.where("c_nationkey < 5").select(F.col("ref_type").alias("object_type"), F.col("ref_name").alias("name"))
+    refs = t(spark, d, "orders").select("o_orderkey", "o_custkey").join(c.drop("c_nationkey"), "o_custkey")
+    return graph.admissible(refs, known).select("o_orderkey")
+
 
+_ASIA = f"""with n as ({_NODES}), e as ({_EDGES}), me as (select id from n where id in ('Region.ASIA', 'metadata:Region:ASIA') or (object_type = 'Region' and name = 'ASIA') or object_name = 'ASIA' or name = 'ASIA'),
+x as (select distinct n.id, n.name, n.object_type, n.object_name, e.edge_type from e join n on n.id = e.source where e.target in (select id from me)),
+near as (select object_type || '.' || coalesce(nullif(object_name, ''), name) object, id node_id, edge_type from x order by edge_type, name, id limit 20)"""
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+
+@query(f"{_ASIA} select object, node_id, edge_type from near where object not in (select 'Nation.' || n_name from nation where n_nationkey % 2 = 0)")
 def caller_anti(spark, d):
-    return t(spark, d, "customer").select("c_custkey").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Graph neighbours of a name that are not among the callers found."""
+    nodes, edges = _graph(spark, d)
+    usages = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("Nation."), "n_name").alias("object"))
+    return Store(spark, {"nodes": nodes, "edges": edges}).graph_related("Region.ASIA", usages).select("object", "node_id", "edge_type")
 
 
-@query("select o_custkey, string_agg(s, ',' order by s) rights from (select distinct o_custkey, o_orderstatus s from orders where o_orderstatus <> 'P') group by 1")
+@query("""with g as (select distinct o_custkey, o_orderstatus s from orders where o_orderstatus <> 'P'), r as (select o_custkey, string_agg(s, ',' order by s) rights from g group by 1)
+select 'metadata:Roles:R' || o_custkey source, 'metadata:Catalogs:N' || o_custkey target, 'HAS_RIGHT' edge_type, rights from r""")
 def rights_explode(spark, d):
-    grants = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("rights"))  # a set of three values at most
-    rows = grants.select("o_custkey", F.explode("rights").alias("r")).where("r <> 'P'")
-    return rows.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("r")), ",").alias("rights"))
+    """Roles that grant rights become edges, by the graph's builder."""
+    own = t(spark, d, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderstatus")).alias("rights"))  # a set of three values at most
+    name = F.col("o_custkey").cast("string")
+    granted = F.array(F.struct(F.concat(F.lit("Catalog.N"), name, F.lit(".Attribute.A")).alias("name"), F.col("rights").alias("rights")))
+    objects = own.select(F.lit("Roles").alias("object_type_dir"), F.concat(F.lit("R"), name).alias("name"), F.lit("").alias("synonym"), F.lit("Role").alias("kind"), granted.alias("granted_objects"), F.lit("").alias("owner_type"), F.lit("").alias("owner_name"), F.lit("").alias("template_name"))
+    methods = spark.createDataFrame([], "object_type string, object_name string, module_name string, method_name string, signature string, code string")
+    forms = spark.createDataFrame([], "object_type string, object_name string, form_name string, elements_count int")
+    return graph.build(objects, methods, forms)[1].select("source", "target", "edge_type", F.get_json_object("extra", "$.rights").alias("rights"))
 
 
 @query("select 'code' collection, count(*) n from documents union all select 'metadata', count(*) from part union all select 'forms', count(*) from pages union all select 'total', (select count(*) from documents) + (select count(*) from part) + (select count(*) from pages)")
 def collection_counts(spark, d):
-    out = None
-    for name, table in (("code", "documents"), ("metadata", "part"), ("forms", "pages")):
-        one = t(spark, d, table).agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
-        out = one if out is None else out.union(one)
-    return out.rollup("collection").agg(F.sum("n").alias("n")).select(F.coalesce("collection", F.lit("total")).alias("collection"), "n")
+    return Store(spark, {"code": t(spark, d, "documents"), "metadata": t(spark, d, "part"), "forms": t(spark, d, "pages")}).stats()
 
 
-@query("""with l as (select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) r from lineitem)
-select p_partkey, 'Тип: ' || p_type || chr(10) || 'Имя: ' || p_name || coalesce(chr(10) || 'Реквизиты: ' || string_agg(l_orderkey || ' (' || l_linenumber || ')', ', ' order by r), '') document from part left join (select * from l where r <= 5) l on l_partkey = p_partkey group by p_partkey, p_type, p_name""")
+@query("""with l as (select l_partkey, string_agg(l_orderkey || ' (' || l_linenumber || ')', ', ' order by l_orderkey, l_linenumber) a from lineitem group by 1)
+select p_partkey, 'Тип: ' || p_type || chr(10) || 'Имя: ' || p_name || chr(10) || 'Синоним: ' || p_brand || chr(10) || 'Комментарий: ' || coalesce(chr(10) || 'Реквизиты: ' || a, '') document from part left join l on l_partkey = p_partkey""")
 def metadata_document(spark, d):
-    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
-    few = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber").withColumn("r", F.row_number().over(w)).where("r <= 5")
-    own = F.transform(F.sort_array(F.collect_list(F.struct("r", "l_orderkey", "l_linenumber"))), lambda a: F.concat(a["l_orderkey"].cast("string"), F.lit(" ("), a["l_linenumber"].cast("string"), F.lit(")")))
-    lists = few.groupBy("l_partkey").agg(F.array_join(own, ", ").alias("a"))
+    """Parts as objects, their order lines as attributes."""
+    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
+    attributes = F.transform(order, lambda a: F.struct(a["l_orderkey"].cast("string").alias("name"), a["l_linenumber"].cast("string").alias("type")))
+    lists = t(spark, d, "lineitem").groupBy("l_partkey").agg(attributes.alias("attributes"))
     p = t(spark, d, "part").join(lists, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return p.select("p_partkey", F.concat_ws("\n", F.concat(F.lit("Тип: "), "p_type"), F.concat(F.lit("Имя: "), "p_name"), F.concat(F.lit("Реквизиты: "), "a")).alias("document"))
+    text, texts, fields = "string", "array<string>", "array<struct<name: string, type: string>>"
+    none = {"comment": text, "kind": text, "object_type_dir": text, "body_text": text, "owner_type": text, "owner_name": text, "template_name": text, "dimensions": fields, "resources": fields, "tabular_sections": "array<struct<name: string, attributes: array<struct<name: string, type: string>>>>", "commands": texts, "granted_objects": "array<struct<name: string, rights: array<string>>>"}
+    none |= {c: texts for c in ("queries", "cell_texts", "data_sets", "parameters", "fields", "named_areas")}
+    objects = p.select("p_partkey", F.col("p_type").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("synonym"), "attributes", *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    return objects.select("p_partkey", documents.object_document().alias("document"))
+
+
+@query("select conv_id, 'Форма: F' || conv_id || chr(10) || 'Объект: ' || max(case when turn = 0 then role end) || chr(10) || 'Элементы: ' || string_agg(case when turn < 20 then role || turn end, ', ' order by turn) document, 'main_form_Conversation_' || max(case when turn = 0 then role end) || '_F' || conv_id item_id from conversations group by conv_id")
+def form_document(spark, d):
+    """Conversations as forms, their turns as elements, of which the first 20 count."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    own = t(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("s"))
+    forms = own.select("conv_id", F.concat(F.lit("F"), F.col("conv_id").cast("string")).alias("form_name"), F.lit("Conversation").alias("object_type"), F.col("s")[0]["role"].alias("object_name"), F.transform("s", lambda x: F.concat(x["role"], x["turn"].cast("string"))).alias("elements"))
+    return documents.form_items(forms).select("conv_id", "document", "item_id")
+
+
+def _cut(text: str, n: int) -> str:
+    return f"case when length({text}) > {n} then substr({text}, 1, {n - 3}) || '...' else {text} end"
 
 
-@query("""with r as (select label question_id, vec_id, text, row_number() over (partition by label order by vec_id) r from embeddings join documents on vec_id = doc_id),
-a as (select question_id, '== ОБЪЕКТЫ МЕТАДАННЫХ ==' || chr(10) || string_agg('- D.' || vec_id || ' (x)', chr(10) order by r) t from r where r <= 6 group by 1),
-b as (select question_id, '== ФРАГМЕНТЫ КОДА ==' || chr(10) || string_agg('- D.' || vec_id || chr(10) || case when length(text) > 1200 then substr(text, 1, 1197) || '...' else text end, chr(10) order by r) t from r where r <= 8 group by 1),
-c as (select question_id, '== ФОРМЫ ==' || chr(10) || string_agg('- ' || vec_id || ' (D)', chr(10) order by r) t from r where r <= 5 group by 1),
-w as (select a.question_id, a.t || chr(10) || chr(10) || b.t || chr(10) || chr(10) || c.t x from a join b on a.question_id = b.question_id join c on a.question_id = c.question_id)
-select question_id, md5(case when length(x) > 6000 then substr(x, 1, 5997) || '...' else x end) context_md5 from w""")
+@query(f"""with r as (select label question_id, vec_id, text, row_number() over (partition by label order by vec_id) r from embeddings join documents on vec_id = doc_id),
+a as (select question_id, '== ОБЪЕКТЫ МЕТАДАННЫХ ==' || chr(10) || string_agg('- D.' || vec_id || ' (x)' || chr(10) || '  Описание: ' || {_cut('text', 300)}, chr(10) order by r) t from r where r <= 8 group by 1),
+b as (select question_id, '== ФРАГМЕНТЫ КОДА ==' || chr(10) || string_agg('- D.' || vec_id || ' / M' || chr(10) || '  Сигнатура: S()' || chr(10) || '  Файл: /f/' || vec_id || chr(10) || '  ```bsl' || chr(10) || {_cut('text', 1200)} || chr(10) || '  ```', chr(10) order by r) t from r where r <= 6 group by 1),
+c as (select question_id, '== ФОРМЫ ==' || chr(10) || string_agg('- ' || vec_id || ' (D), элементов: ' || vec_id % 7, chr(10) order by r) t from r where r <= 5 group by 1),
+g as (select question_id, chr(10) || 'На объект ссылаются (зависят от него):' || chr(10) || string_agg(case when r <= 25 then '  - D.' || vec_id || ' [REFERENCES]' end, chr(10) order by r) || chr(10) || 'Объект ссылается на (использует):' || chr(10) || string_agg(case when r <= 25 then '  - E.' || vec_id || ' [HAS_FORM]' end, chr(10) order by r) t from r group by 1),
+w as (select a.question_id, concat_ws(chr(10) || chr(10), a.t, b.t, c.t, '== ГРАФ ЗАВИСИМОСТЕЙ для ' || chr(39) || 'Q' || a.question_id || chr(39) || ' ==' || g.t) x from a join b on a.question_id = b.question_id join c on a.question_id = c.question_id join g on a.question_id = g.question_id)
+select question_id, md5({_cut('x', 14000)}) context_md5 from w""")
 def rag_context(spark, d):
+    """Labels as questions, their vectors' documents as hits: 8 objects, 6 snippets, 5 forms, 25 neighbours a side, 14,000 characters."""
     e = t(spark, d, "embeddings").select(F.col("label").alias("question_id"), F.col("vec_id").alias("rank")).join(t(spark, d, "documents").select(F.col("doc_id").alias("rank"), "text"), "rank")
     name = F.col("rank").cast("string")
-    hits = e.withColumns({"type": F.lit("D"), "name": name, "synonym": F.lit("x"), "object": F.concat(F.lit("D."), name), "code": F.col("text")})
-    forms = e.withColumns({"form_name": name, "object": F.lit("D")})
-    return context(hits, hits, forms, budget=6000).select("question_id", F.md5("context").alias("context_md5"))
+    objects = e.withColumns({"type": F.lit("D"), "name": name, "synonym": F.lit("x"), "description": F.col("text"), "file_path": F.lit("")})
+    code = e.withColumns({"object": F.concat(F.lit("D."), name), "module": F.lit("M"), "method": F.lit(""), "signature": F.lit("S()"), "code": F.col("text"), "file_path": F.concat(F.lit("/f/"), name)})
+    forms = e.withColumns({"form_name": name, "object": F.lit("D"), "elements_count": (F.col("rank") % 7).cast("int")})
+    asked = F.concat(F.lit("Q"), F.col("question_id").cast("string"))
+    near = [e.select("question_id", "rank", asked.alias("asked"), F.lit(side).alias("side"), F.concat(F.lit(p), name).alias("object"), F.lit(kind).alias("edge_type")) for side, p, kind in (("dependencies", "D.", "REFERENCES"), ("references", "E.", "HAS_FORM"))]
+    return context(objects, code, forms, near[0].union(near[1])).select("question_id", F.md5("context").alias("context_md5"))
 
 
-@query("select event_type, count(*) n from events where regexp_matches(event_type, '^[a-z_]+$') group by 1")
+@query("select case when event_type = 'click' then 'Metadata' when event_type = 'view' then 'Method' else 'Form' end kind, count(*) n from events where event_type not in ('error', 'signup') group by 1 union all select '', count(*) from events where event_type not in ('error', 'signup')")
 def checked_enum(spark, d):
-    return t(spark, d, "events").where(F.col("event_type").rlike("^[a-z_]+$")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events as nodes: rows of unknown types and rows without an id fall out."""
+    kind = F.when(F.col("event_type") == "click", "Metadata").when(F.col("event_type") == "view", "Method").when(F.col("event_type") == "purchase", "Form").otherwise(F.col("event_type"))
+    nodes = t(spark, d, "events").select(F.when(F.col("event_type") != "signup", F.col("event_id").cast("string")).alias("id"), kind.alias("node_type"), *[F.lit("").alias(c) for c in ("name", "object_type", "object_name", "synonym", "extra")])
+    return graph.counts(graph.checked_nodes(nodes), "node_type")
 
 
 @query("select p_partkey, list_filter(list_transform(string_split(p_name, ' '), lambda x: trim(x)), lambda x: x <> '') words from part")
