@@ -196,14 +196,34 @@ def test_settings():
 
 
 def test_streaming(spark, sf, tmp_path):
-    from ferrule.streaming.upsert import merge_batches
+    from pyspark.sql import functions as F
+
+    from ferrule.streaming.upsert import latest, merge_batches, merged, usages
 
     events = spark.read.parquet(f"{sf}/events.parquet")
-    src = tmp_path / "in"
+    src, out = tmp_path / "in", str(tmp_path / "out")
     events.repartition(3).write.parquet(str(src))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+
+    def stream():
+        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+
+    def ended(q):
+        q.awaitTermination()
+        return q
+
     keys, seq = ["user_id", "event_type"], ["ts", "event_id"]
-    q = stream.writeStream.foreachBatch(merge_batches(str(tmp_path / "out"), keys, seq)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = sorted(int(p.name) for p in (tmp_path / "out").iterdir())[-1]
-    assert spark.read.parquet(f"{tmp_path}/out/{last}").count() == events.select(*keys).distinct().count()
+    merge = merge_batches(out, keys, seq, parts=5)
+    ended(stream().writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    want = sorted(map(tuple, graph.upsert(events, keys, seq).collect()), key=str)
+    assert sorted(map(tuple, merged(spark, out).select(*graph.upsert(events, keys, seq).columns).collect()), key=str) == want
+    left = sorted(p.name for v in (tmp_path / "out").glob("v*") for p in v.glob("part=*"))
+    assert left == sorted(set(left)) and len(left) == 5  # one folder a part
+    merge(events.limit(0), 0)  # a batch that ran before changes nothing
+    assert merged(spark, out).count() == len(want) and merged(spark, str(tmp_path / "none")) is None
+
+    ended(latest(stream(), ["user_id"], "value", "ts").writeStream.format("memory").queryName("latest_values").outputMode("complete").trigger(availableNow=True).start())
+    top = events.groupBy("user_id").agg(F.max_by("value", "ts").alias("value"), F.max("ts").cast("timestamp").alias("ts"))
+    assert sorted(map(tuple, spark.table("latest_values").select("user_id", "value", "ts").collect())) == sorted(map(tuple, top.collect()))
+
+    ended(usages(stream().select("event_id", F.concat_ws(" ", "event_type", F.lit("clicks")).alias("text")), "CLICK").writeStream.format("memory").queryName("uses").trigger(availableNow=True).start())
+    assert spark.table("uses").count() == events.where("event_type = 'click'").count()
