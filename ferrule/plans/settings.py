@@ -55,6 +55,14 @@ def parse_env(text: str) -> dict[str, str]:
     return out
 
 
+def profile_env(folder: str, name: str | None = None) -> dict[str, str]:
+    """The values of a profile's folder: its own ``name.env``, then other ``*.env`` in order, then ``.env.local``."""
+    name = name or os.path.basename(folder.rstrip("/"))
+    found = {f: parse_env(open(os.path.join(folder, f), encoding="utf-8").read()) for f in sorted(os.listdir(folder)) if f.endswith(".env") or f == ".env.local"}
+    own, local = found.pop(f"{name}.env", {}), found.pop(".env.local", {})
+    return merged_env(own, list(found.values()), local)
+
+
 def merged_env(named: dict, others: list[dict], local: dict) -> dict[str, str]:
     """The profile's own file, then others, then the local file: later ones win."""
     out = dict(named)

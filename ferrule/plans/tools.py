@@ -20,6 +20,8 @@ from ferrule.sources import files
 CODE = "rank int, relevance double, object string, module string, method string, signature string, is_export boolean, code string, file_path string, directive string"
 METADATA = "rank int, relevance double, type string, name string, synonym string, description string, has_modules array<string>, attributes_count int, file_path string, tabular_sections array<string>, has_dimensions boolean, has_resources boolean, commands_count int"
 FORMS = "rank int, relevance double, form_name string, object string, elements_count int, file_path string"
+SOURCE = ", index_source string, source_id string, configuration_name string, config_root string, is_extension boolean"
+CODE, METADATA, FORMS = CODE + SOURCE, METADATA + SOURCE, FORMS + SOURCE
 NEAR = "object string, node_id string, edge_type string"
 USAGE = "object string, module string, in_method string, line_number int, line_content string, code_context string, file_path string, source string, index_source string, configuration_name string, config_root string, edge_type string, node_id string"
 # What is asked of the code index for usages, and what the assistant is told.
@@ -87,20 +89,21 @@ class Store:
         out = self._search("code", query, limit, {"is_export": True} if only_export else None)
         if out is None:
             return self.spark.createDataFrame([], CODE)
-        return out.select("rank", "relevance", F.concat_ws(".", "object_type", "object_name").alias("object"), F.col("module_name").alias("module"), F.col("method_name").alias("method"), "signature", "is_export", "code", "file_path", "directive").orderBy("rank")
+        return _shaped(out.withColumns({"object": F.concat_ws(".", "object_type", "object_name"), "module": F.col("module_name"), "method": F.col("method_name")}), CODE).orderBy("rank")
 
     def search_metadata(self, query: str, object_type: str = "all", limit: int = 10) -> DataFrame:
         kind = K.TYPE_FILTER.get(object_type, object_type)
         out = self._search("metadata", query, limit, None if kind in ("", "all") else {"object_type": kind})
         if out is None:
             return self.spark.createDataFrame([], METADATA)
-        return out.select("rank", "relevance", F.col("object_type").alias("type"), "name", "synonym", F.col("comment").alias("description"), "has_modules", "attributes_count", "file_path", F.transform("tabular_sections", lambda s: s["name"]).alias("tabular_sections"), (F.size("dimensions") > 0).alias("has_dimensions"), (F.size("resources") > 0).alias("has_resources"), F.size("commands").alias("commands_count")).orderBy("rank")
+        out = out.withColumns({"type": F.col("object_type"), "description": F.col("comment"), "tabular_sections": F.transform("tabular_sections", lambda x: x["name"]), "has_dimensions": F.size("dimensions") > 0, "has_resources": F.size("resources") > 0, "commands_count": F.size("commands")})
+        return _shaped(out, METADATA).orderBy("rank")
 
     def search_forms(self, query: str, limit: int = 10) -> DataFrame:
         out = self._search("forms", query, limit)
         if out is None:
             return self.spark.createDataFrame([], FORMS)
-        return out.select("rank", "relevance", "form_name", F.concat_ws(".", "object_type", "object_name").alias("object"), "elements_count", "file_path").orderBy("rank")
+        return _shaped(out.withColumn("object", F.concat_ws(".", "object_type", "object_name")), FORMS).orderBy("rank")
 
     def search_code_by_object(self, name: str, query: str = "", limit: int = 20) -> DataFrame:
         code = self.tables["code"]
@@ -252,9 +255,11 @@ class Store:
 
 
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
-    """The columns of the schema, null where df has none."""
+    """The columns of the schema, null where df has none; provenance that is empty is null, so that JSON leaves it out."""
     fields = [f.strip().split() for f in schema.split(",")]
-    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
+    named = {f.split()[0] for f in SOURCE.split(",")[1:]} - {"is_extension"}
+    columns = {n: F.col(n) if n in df.columns else F.lit(None) for n, _ in fields}
+    return df.select(*[(F.nullif(columns[n], F.lit("")) if n in named else columns[n]).cast(kind).alias(n) for n, kind in fields])
 
 
 # The sections of a context, what their lines hold and how many there are.

@@ -101,6 +101,11 @@ def templates(spark: SparkSession, root: str) -> DataFrame:
     return _first(out, ["name"], "file_path")
 
 
+def report_schemas(spark: SparkSession, root: str) -> DataFrame:
+    """The templates that are report schemas."""
+    return templates(spark, root).where("kind = 'DataCompositionSchema'")
+
+
 def forms(spark: SparkSession, root: str) -> DataFrame:
     xml = tree(spark, root, "Form.xml").where(F.col("rel").rlike(r"(^|/)Forms/[^/]+/(Ext/)?Form\.xml$"))
     parts = F.split("rel", "/")

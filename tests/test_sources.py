@@ -195,6 +195,39 @@ def test_settings():
     assert files.split_paths("C:/a; c:/A;\n/b") == ["C:/a", "/b"]
 
 
+def test_jobs_and_profiles(spark, root, tmp_path):
+    import json
+
+    from ferrule.plans import jobs
+    from ferrule.plans.profiles import profiles
+    from ferrule.plans.settings import profile_env
+
+    store, staged = str(tmp_path / "store"), str(tmp_path / "staged")
+    assert "error" in jobs.run(spark, ["index", "--root", store, "--config-path", str(tmp_path)])
+    built = jobs.run(spark, ["index", "--root", store, "--config-path", root, "--clear"])
+    assert built["code_count"] == 2
+    stats = jobs.run(spark, ["stats", "--root", store])
+    assert stats["total"] == 7 and stats["graph_nodes_total"] == built["nodes_count"]
+    assert jobs.run(spark, ["stage", "--root", store, "--staging", staged]) == {"nodes_count": built["nodes_count"], "edges_count": built["edges_count"]}
+    assert jobs.run(spark, ["rebuild", "--root", store, "--staging", staged])["edges_count"] == built["edges_count"]
+    found = jobs.run(spark, ["call", "search_1c_metadata", json.dumps({"query": "товары", "object_type": "Справочник"}), "--root", store])
+    assert [r["name"] for r in found["results"]] == ["Товары"] and found["results"][0]["index_source"] == "main"
+    assert jobs.run(spark, ["restore", "--root", store])["version"] == built["version"]
+    assert jobs.run(spark, ["clear", "--root", store]) == {"cleared": store} and files.report_schemas(spark, root).count() == 1
+    for name, env in (("b", "DESCRIPTION='Б'\nHYBRID_ALPHA=0.5\n"), ("A", "PROFILE_NAME=a\n"), ("none", None)):
+        (tmp_path / "p" / name).mkdir(parents=True)
+        if env:
+            (tmp_path / "p" / name / f"{name}.env").write_text(env)
+    (tmp_path / "p" / "b" / "more.env").write_text("HYBRID_ALPHA=0.6\nX=1\n")
+    (tmp_path / "p" / "b" / ".env.local").write_text("X=2\n")
+    (tmp_path / "r.json").write_text(json.dumps({"profiles": [{"name": "a", "index": "/i", "env": {"USE_MMR": "false"}}, {"name": " "}, {"name": "C"}]}))
+    assert profile_env(str(tmp_path / "p" / "b")) == {"DESCRIPTION": "Б", "HYBRID_ALPHA": "0.6", "X": "2"}
+    listed = profiles(str(tmp_path / "p"), str(tmp_path / "r.json"))
+    assert [(p.name, p.source) for p in listed] == [("a", "registry"), ("b", "profile"), ("C", "registry")]
+    assert listed[1].settings.hybrid_alpha == 0.6 and not listed[0].settings.use_mmr and not listed[0].available
+    assert jobs.run(spark, ["profiles", "--folder", str(tmp_path / "p")])["profiles"][1]["description"] == "Б"
+
+
 def test_streaming(spark, sf, tmp_path):
     from pyspark.sql import functions as F
 
