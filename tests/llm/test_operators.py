@@ -147,6 +147,44 @@ def test_decontamination_blocks_agree(spark, docs, texts):
     assert decontam.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 200], ids=["one block", "many"])
+def test_decontamination_against_brute_force(spark, block_bytes):
+    r = random.Random(21)
+    vocabulary = ["ab", "Cd", "é", "x1", "12", "ÜB", "q"]
+
+    def text(n):
+        return "".join(w + r.choice([" ", ", ", "  ", "\n", "-"]) for w in r.choices(vocabulary, k=n))
+
+    items = [(i, text(r.choice((1, 3, 7, 8, 9, 20)))) for i in range(12)] + [(3, text(9)), (20, ""), (21, " ,"), (22, None), (None, "ab")]
+    texts = [text(r.randrange(0, 60)) for _ in range(80)] + [None, "", "ab " * 30_000] + [text(20) + items[k][1].upper().replace(" ", "-") + text(9) for k in range(12)]
+    rows = [(i, t, "x", 1, ["z"]) for i, t in enumerate(texts)] + [(0, texts[0], "x", 1, ["z"]), (None, texts[90], "x", 1, ["z"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_hit int, spans array<string>").repartition(3)
+
+    def words(t):
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(len(w) - min(8, len(w)) + 1) if w and i is not None else ():
+            windows.setdefault(tuple(w[k : k + 8]), set()).add(str(i))
+    want = []
+    for i, t, *_ in rows:
+        w, hit, own = words(t), set(), set()
+        for g, ids in windows.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    own |= ids
+        want.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), len(own) >= 2))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.contamination(docs, table, block_bytes=block_bytes).collect()), key=str)
+    assert got == sorted(want, key=str)
+    kept = decontam.decontaminated(docs, table, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted((x for x, w in zip(rows, want, strict=True) if not w[3]), key=str)
+    assert decontam.contamination(docs.limit(0), table).count() == 0
+
+
 @pytest.mark.parametrize("small", [False, True], ids=["usual", "many slabs"])
 def test_knn(spark, monkeypatch, small):
     if small:
@@ -245,6 +283,51 @@ def test_language(spark):
     assert langid.languages(df.limit(0)).count() == 0
 
 
+def test_language_of_odd_rows(spark):
+    r = random.Random(3)
+    words = {"aa": ["the", "and", "with"], "bb": ["der", "und", "nicht"], "cc": ["и", "не", "что"], "dd": ["और", "नहीं"], "ee": ["และ", "ไม่"]}
+    rows = [(i, " ".join(r.choices(words[k], k=20)), k) for i in range(100) for k in words if i % 5 == "abcde".index(k[0])]
+    odd = [(200, "½ ²", None), (201, "à", None), (202, "the and " * 40_000, None), (203, "नहीं और", None), (204, "ไม่", None), (205, "和", None), (206, "１２ ٣", None)]
+    full = [(*x, "l", 0.5, 7) for x in [*rows, *odd, rows[0], rows[0]]]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, lang_pred string, score double, spans int").repartition(3)
+    got = langid.languages(df, spans=False).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == len(full) and set(got[0].asDict()) == {"doc_id", "held_out", "lang_pred", "score"}
+    assert all(by[i].lang_pred == k for i, _, k in rows)
+    assert by[200].lang_pred == by[206].lang_pred == "und" and by[200].score == 0 and by[201].lang_pred in words and by[202].lang_pred == "aa"
+    assert (by[203].lang_pred, by[204].lang_pred) == ("dd", "ee") and by[205].lang_pred in words
+    assert langid.languages(df.limit(0)).count() == 0
+    assert {x.lang_pred for x in langid.languages(df.where("lang is null")).collect()} == {"und"}  # nothing to learn from
+
+
+def test_many_languages(spark):
+    """More labels than a byte tells apart."""
+    rows = [(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}zz " * 5, f"l{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df, model, spans=False).collect()}
+    assert sum(got[i] == k for i, _, k in rows) > 290
+
+
+def held_out_rows(spark, sf, query, keys):
+    from ferrule.llm.queries import QUERIES
+
+    big = sf.replace("sf0.001", "sf0.1")
+    truth = spark.read.parquet(f"{big}/{'documents' if query == 'op7_langid' else 'labels'}.parquet").select("doc_id", keys[1])
+    return [(x[keys[0]], x[keys[1]]) for x in QUERIES[query](spark, big).where("held_out").join(truth, "doc_id").where(f"{keys[1]} is not null").collect()]
+
+
+def test_language_held_out(spark, sf):
+    rows = held_out_rows(spark, sf, "op7_langid", ("lang_pred", "lang"))
+    assert len(rows) > 2000 and sum(a == b for a, b in rows) > 0.99 * len(rows)
+
+
+def test_toxicity_held_out(spark, sf):
+    rows = held_out_rows(spark, sf, "op10_toxicity", ("predicted", "toxic"))
+    found, toxic, both = sum(a for a, _ in rows), sum(b for _, b in rows), sum(a and b for a, b in rows)
+    assert len(rows) > 1000 and both > 0.6 * toxic and both > 0.9 * found
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(0)
     first = np.array([0, 4, 4, 11, 12])
@@ -500,6 +583,17 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.toxicity(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, "vile foul " * (i % 3 == 0) + "quiet calm day", "e", 1.0, "p") for i in range(120)] + [(500, "vile foul " * 30_000, "e", 1.0, "p"), (501, None, "e", 1.0, "p"), (0, "vile foul quiet calm day", "e", 1.0, "p"), (0, "vile foul quiet calm day", "e", 1.0, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, evidence string, score double, terms string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == len(rows) and by[500].predicted == 1 and by[501].predicted == 0 and [by[i].predicted for i in range(90, 93)] == [1, 0, 0]
+    assert set(by[99].evidence) <= set(range(90)) and len(by[99].evidence) > 0 and by[501].evidence == []
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0 and toxicity.toxicity(df, labels, evidence=False).columns == ["doc_id", "score", "predicted"]
+
+
 def brute_nearest(texts, examples, k):
     """Cosines over the whole TF-IDF vectors, terms as strings."""
     import collections
@@ -545,13 +639,16 @@ def test_toxicity_index_is_exact(spark):
 
 def test_blocks_out_of_reach_change_nothing():
     rng = np.random.default_rng(0)
-    keys = np.arange(400, dtype=np.uint64)
-    index = toxicity.Index(keys, rng.integers(1, 500, 400), 1000)
-    vectors = []
+    import pickle
+
+    index = toxicity.Index(np.arange(400, dtype=np.uint64), rng.integers(1, 500, 400), 1000)
+    bags = []
     for i in range(900):
-        t = np.unique(np.concatenate([rng.integers(0, 20, 6), 20 + 38 * (i % 10) + rng.integers(0, 38, 12)])).astype(np.uint64)
-        vectors.append(index.weigh(t, rng.integers(1, 5, len(t))))
-    index.build(vectors, np.zeros(900), np.arange(900))
+        t = np.unique(np.concatenate([rng.integers(0, 20, 6), 20 + 38 * (i % 10) + rng.integers(0, 38, 12)]))
+        bags.append((t, rng.integers(1, 5, len(t))))
+    index.build(bags, np.zeros(900), np.arange(900))
+    index = pickle.loads(pickle.dumps(index))
+    vectors = [index.weigh(t.astype(np.uint64), n) for t, n in bags]
     dense = np.zeros((900, 400), np.float32)
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
