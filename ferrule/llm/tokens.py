@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import Scratch, prepare
 
-END_ID, SHARD_BYTES, MEMO = 1, 4 << 20, 400_000
+END_ID, SHARD_BYTES, MEMO = 1, 4 << 20, 800_000
 #: Bytes of ids of one partition, about, and of the longest sample.
 PART_BYTES, LONG = 64 << 20, 20_000
 #: Documents, about, that the dictionary is trained on (by hash of the id; at most twice as many) and its size.
