@@ -10,7 +10,7 @@ the others are plain posting lists. A query's short lists are merged first. The
 query's long lists' block maxima, bounds every score of the block. Blocks with the highest bounds are scored first, in
 batches of queries of the same kind; a block is left out where its bound does not reach any query's k-th score so far, so
 the k nearest are exact. Votes are weighted by cosine; the raw vote becomes a probability by a monotone step function,
-fitted on the votes that each example gets from the others.
+fitted on the votes that examples (one in ``JUDGED``) get from the others.
 
 The labelled sample has about ``SAMPLE`` rows (by hash of the id; all, if there are fewer): a documented bound of
 what is learned from; every document is scored by its whole text.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import Scratch, blobs, chunks, hash_words, mix, prepare, summed
 from ferrule.llm.langid import LETTERS
 
-SAMPLE, K, BLOCK, COMMON, SMOOTH, PREFIXES = 12_000, 40, 128, 32, 0.05, (4, 6)
-CUT, SLICE, BATCH = 0.7, 1 << 16, 64
+SAMPLE, K, BLOCK, COMMON, SMOOTH, PREFIXES = 6000, 40, 128, 24, 0.05, (4, 6)
+CUT, SLICE, BATCH, JUDGED = 0.7, 1 << 16, 64, 2
 
 
 def terms_of(buf, offs):
@@ -99,30 +99,54 @@ class Index:
         w = tf * np.where(known, self.idf[at] if len(self.keys) else 0.0, self.unseen)
         return at[known], (w[known] / max(float(np.sqrt((w * w).sum())), 1e-9)).astype(np.float32)
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ids: np.ndarray) -> None:
-        n = len(vectors)
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-        weight = np.concatenate([np.zeros(0, np.float32), *(w for _, w in vectors)])
-        owner = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        often = np.bincount(term, minlength=len(self.keys)) * COMMON > n
-        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)  # of the long lists, -1 for the others
-        dense = np.zeros((n, int(often.sum())), np.float32)
-        long = often[term]
-        dense[owner[long], self.column[term[long]]] = weight[long]
-        # Like examples share blocks: each goes to the nearest of some of them.
+    def build(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ids: np.ndarray) -> None:
+        """bags: positions among the keys and counts of each example."""
+        n = len(bags)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in bags)])
+        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in bags)])
+        owner = np.repeat(np.arange(n), [len(t) for t, _ in bags])
+        # Like examples share blocks: each goes to the nearest of some of them, by what is in many.
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.keys)) * COMMON > n)
+        dense = np.zeros((n, len(often)), np.float32)
+        long = np.isin(term, often)
+        dense[owner[long], np.searchsorted(often, term[long])] = (1 + np.log(count[long])) * self.idf[term[long]]
         leaders = dense[np.linspace(0, n - 1, min(n, 64)).astype(int)] if n else dense
+        leaders = leaders / np.maximum(np.sqrt((leaders * leaders).sum(1, keepdims=True)), 1e-9)
         order = np.lexsort((ids, (dense @ leaders.T).argmax(1))) if n else np.zeros(0, np.int64)
         self.toxic, self.ids, self.n = toxic[order].astype(np.float32), ids[order], n
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        self.n_blocks = -(-n // BLOCK)
-        self.long = np.zeros((dense.shape[1], self.n_blocks * BLOCK), np.float32)
-        self.long[:, :n] = dense[order].T
-        self.highest = self.long.reshape(dense.shape[1], self.n_blocks, BLOCK).max(2) if n else np.zeros((dense.shape[1], 0), np.float32)
-        term, owner, weight = term[~long], place[owner[~long]], weight[~long]
+        owner = place[owner]
         by = np.lexsort((owner, term))
         self.first = np.searchsorted(term[by], np.arange(len(self.keys) + 1)).astype(np.int32)
-        self.owner, self.weight = owner[by].astype(np.int32), weight[by]
+        self.owner, self.count = owner[by].astype(np.int16 if n < 1 << 15 else np.int32), count[by].astype(np.uint8 if count.max(initial=0) < 256 else np.int32)
+        self._open()
+
+    def __getstate__(self):
+        # Sent as counts; weights and blocks are made where it is used.
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "short", "column", "long", "highest")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._open()
+
+    def close(self) -> None:
+        """Drop what is made from the rest: the driver has sent it and needs it no more."""
+        self.__dict__ = self.__getstate__()
+
+    def _open(self) -> None:
+        n, df = self.n, np.diff(self.first)
+        term = np.repeat(np.arange(len(self.keys)), df)
+        weight = (1 + np.log(self.count.astype(np.float32))) * self.idf[term]
+        weight /= np.maximum(np.sqrt(np.bincount(self.owner, weight.astype(float) ** 2, n)), 1e-9).astype(np.float32)[self.owner]
+        often = df * COMMON > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)  # of the long lists, -1 for the others
+        self.n_blocks = -(-n // BLOCK)
+        self.long = np.zeros((self.n_blocks, int(often.sum()), BLOCK), np.float32)
+        long = often[term]
+        self.long[self.owner[long] // BLOCK, self.column[term[long]], self.owner[long] % BLOCK] = weight[long]
+        self.highest = np.ascontiguousarray(self.long.max(2).T)
+        self.weight = weight
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, skip: np.ndarray | None = None):
         """Positions and cosines of the k nearest examples of each query, nearest first; a cosine of 0 is no neighbour.
@@ -137,7 +161,7 @@ class Index:
         term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
         column = self.column[term]
         long = column >= 0
-        q = np.zeros((n, len(self.long)), np.float32)
+        q = np.zeros((n, len(self.highest)), np.float32)
         q[rows[long], column[long]] = weight[long]
         # The short lists, one after the other, merged by place.
         rows, term, weight = rows[~long], term[~long], weight[~long]
@@ -147,12 +171,14 @@ class Index:
         if skip is not None:
             scores[np.arange(n), skip] = -np.inf
         blocks = scores.reshape(n, self.n_blocks, BLOCK)
-        bound = q @ self.highest + np.maximum(blocks.max(2), 0)
+        used = np.flatnonzero(q.any(0))
+        q = np.ascontiguousarray(q[:, used])
+        bound = q @ self.highest[used] + np.maximum(blocks.max(2), 0)
         done = np.zeros(self.n_blocks, bool)
 
         def add(which):
-            cells = (which[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            blocks[:, which] += (q @ self.long[:, cells]).reshape(n, len(which), BLOCK)
+            for b in which:
+                blocks[:, b] += q @ self.long[b][used]
             done[which] = True
 
         few = max(-(-2 * k // BLOCK), self.n_blocks // 4)
@@ -225,27 +251,30 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
     found = rows.mapInArrow(_sample_terms, "toxic int, doc_id long, terms array<long>, counts array<int>").toArrow().combine_chunks()
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic, ids = (np.asarray(found.column(c)) for c in ("toxic", "doc_id"))
-    terms, counts = found.column("terms").combine_chunks(), found.column("counts").combine_chunks()
-    cuts = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(terms)).astype(np.int64)))) if len(terms) else np.zeros(1, np.int64)
-    terms, counts = np.asarray(pa.compute.list_flatten(terms)).view(np.uint64), np.asarray(pa.compute.list_flatten(counts))
-    keys = np.unique(terms)
+    cuts = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(found.column("terms"))).astype(np.int64))))
+    counts = np.asarray(pa.compute.list_flatten(found.column("counts")))
+    keys, terms = np.unique(np.asarray(pa.compute.list_flatten(found.column("terms"))).view(np.uint64), return_inverse=True)
+    del found
+    terms = terms.astype(np.int32)
     shared = spark.sparkContext.broadcast(keys)
     df = summed(docs.select("text").mapInArrow(_document_counts(shared), "slice int, counts binary"), len(keys), SLICE) if len(keys) else np.zeros(0)
     shared.destroy()
     index = Index(keys, df, docs.count())
-    vectors = [index.weigh(terms[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    index.build(vectors, toxic, ids)
-    # Each example is judged by the others.
+    bags = [(terms[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    index.build(bags, toxic, ids)
+    del terms, counts
+    # One of ``JUDGED`` examples is judged by all others.
     place = np.empty(len(ids), np.int64)
     place[np.lexsort((np.arange(len(ids)), ids))] = np.argsort(index.ids, kind="stable")
-    raw = np.full(len(ids), -1.0)
-    by = np.argsort(place)
-    for i in range(0, len(by), BATCH):
-        part = by[i : i + BATCH]
-        raw[part] = index.raw(*index.nearest([vectors[j] for j in part], skip=place[part]))
+    judged = np.flatnonzero(mix(ids.astype(np.uint64)) % np.uint64(JUDGED) == 0) if len(ids) > 1000 else np.arange(len(ids))
+    judged = judged[np.argsort(place[judged])]
+    raw = np.zeros(len(judged))
+    for i in range(0, len(judged), BATCH):
+        part = judged[i : i + BATCH]
+        raw[i : i + BATCH] = index.raw(*index.nearest([index.weigh(keys[bags[j][0]], bags[j][1]) for j in part], skip=place[part]))
     # Rows without any term have no vector: they are the pool of "no neighbours".
     blank, blank_toxic = sums.n - len(ids), sums.t - int(toxic.sum())
-    index.calibrate(np.concatenate((raw, np.full(blank, -1.0))), np.concatenate((toxic, np.arange(blank) < blank_toxic)))
+    index.calibrate(np.concatenate((raw, np.full(blank, -1.0))), np.concatenate((toxic[judged], np.arange(blank) < blank_toxic)))
     return index
 
 
@@ -292,7 +321,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence:
     if index is None:
         none = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("cast(array() as array<bigint>)").alias("evidence")]
         return docs.select("doc_id", *none[: 2 + evidence])
-    return docs.mapInArrow(_judge(spark.sparkContext.broadcast(index), evidence), f"doc_id long, score double, predicted int{more}")
+    shared = spark.sparkContext.broadcast(index)
+    index.close()
+    return docs.mapInArrow(_judge(shared, evidence), f"doc_id long, score double, predicted int{more}")
 
 
 def held_out(column: str = "doc_id"):
