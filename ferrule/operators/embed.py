@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import urllib.request
 from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,7 +33,7 @@ def http(url: str, model: str, timeout: int = 300, batch: int = 100, eos: str =
     def make():
         def embed(texts: list[str]) -> list[list[float]]:
             body = json.dumps({"model": model, "input": texts}).encode()
-            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+            with urlopen(Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as r:
                 data = json.load(r)["data"]
             return [x["embedding"] for x in sorted(data, key=lambda x: x["index"])]
 
