@@ -178,6 +178,30 @@ def chunk_overlap(spark, d):
     return c.select("doc_id", F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x)).alias("n_chars"))
 
 
+@query(f"""with l as (select doc_id, n, line, last_value(nullif(regexp_extract(line, '(?i)^\\s*(Процедура|Функция|Procedure|Function)\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_]+)\\s*\\(', 2), '') ignore nulls) over (partition by doc_id order by n rows unbounded preceding) h
+from (select doc_id, unnest(string_split(x, chr(10))) line, unnest(range(1, len(string_split(x, chr(10))) + 1)) n from (select doc_id, replace(text, chr(10), chr(10) || 'Procedure P' || doc_id || '()' || chr(10)) x from documents)))
+select doc_id, cast(n as integer) line_number, coalesce(h, '') in_method from l where {_USES}""")
+def grep_in_method(spark, d):
+    """Usages with the method whose header stands above them."""
+    head = F.concat(F.lit("\nProcedure P"), F.col("doc_id").cast("string"), F.lit("()\n"))
+    texts = t(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), head).alias("text"))
+    return lines.grep(texts, "des", "doc_id").select("doc_id", "line_number", "in_method")
+
+
+@query("""with t as (select doc_id, text, string_split(text, chr(10)) ls from documents), p as (select doc_id, text, ls[1] top, ls[-1] last, ls[2:len(ls) - 1] body, len(ls) n from t),
+f as (select doc_id, top, last, list_reduce(list_transform(body, lambda l: {'done': []::varchar[], 'cur': [l], 'len': length(l) + 1}),
+lambda a, x: case when a.len + x.len > 844 then {'done': list_append(a.done, array_to_string(a.cur, chr(10))), 'cur': list_concat(a.cur[greatest(1, len(a.cur) - 3) :], x.cur), 'len': cast(list_sum(list_transform(a.cur[greatest(1, len(a.cur) - 3) :], lambda y: length(y) + 1)) + x.len as bigint)}
+else {'done': a.done, 'cur': list_concat(a.cur, x.cur), 'len': a.len + x.len} end) r from p where length(text) > 844 and n >= 3 and length(array_to_string(body, chr(10))) > 844),
+c as (select doc_id, text code, 0 i from p where doc_id not in (select doc_id from f)
+union all select doc_id, top || chr(10) || unnest(list_append(r.done, array_to_string(r.cur, chr(10)))) || chr(10) || last, unnest(range(0, len(r.done) + 1)) from f)
+select 'main_code_Documents_D' || c.doc_id || '_M_m_' || i item_id, md5(case when i = 0 then 'о ' || md5(text) || chr(10) else '' end || 'S()' || chr(10) || code) document_md5 from c join t on c.doc_id = t.doc_id""")
+def code_document(spark, d):
+    """Documents as methods: comments with the first chunk, signature and code of each make the text to embed."""
+    x = t(spark, d, "documents")
+    methods = x.select(F.lit("Documents").alias("object_type"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("object_name"), F.lit("M").alias("module_name"), F.lit("m").alias("method_name"), F.lit("S()").alias("signature"), F.col("text").alias("code"), F.array(F.concat(F.lit("о "), F.md5("text"))).alias("comments"))
+    return documents.code_chunks(methods).select("item_id", F.md5("document").alias("document_md5"))
+
+
 @query("select doc_id, case when length(text) > 100 then substr(text, 1, 97) || '...' else text end head from documents")
 def truncate_ellipsis(spark, d):
     return t(spark, d, "documents").select("doc_id", T.truncated("text", 100).alias("head"))
@@ -327,6 +351,40 @@ def graph_references(spark, d):
     return graph.neighbours(*_graph(spark, d), "Nation.NATION_3", False)
 
 
+def _built(spark, d):
+    """Nations as objects, regions as templates of one of them, suppliers as methods whose code names objects, customers as forms."""
+    nation = t(spark, d, "nation")
+    rights = "array<struct<name: string, rights: array<string>>>"
+
+    def table(df, kind, name, owner_type, owner, template):
+        return df.select(F.lit(kind).alias("object_type_dir"), F.col(name).alias("name"), F.lit("").alias("synonym"), F.lit("").alias("kind"), F.lit(None).cast(rights).alias("granted_objects"), F.lit(owner_type).alias("owner_type"), F.lit(owner).alias("owner_name"), template.alias("template_name"))
+
+    objects = table(nation, "Catalogs", "n_name", "", "", F.lit("")).union(table(t(spark, d, "region"), "Templates", "r_name", "Catalogs", "NATION_0", F.col("r_name")))
+    code = F.concat(F.lit("x = Справочники.NATION_"), (F.col("s_suppkey") % 25).cast("string"), F.lit("; документы.Д"), (F.col("s_suppkey") % 3).cast("string"), F.lit(".Найти()"))
+    methods = t(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("Catalogs").alias("object_type"), F.col("n_name").alias("object_name"), F.lit("М").alias("module_name"), F.col("s_name").alias("method_name"), F.lit("").alias("signature"), code.alias("code"))
+    forms = t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("Catalogs").alias("object_type"), F.col("n_name").alias("object_name"), F.col("c_name").alias("form_name"), (F.col("c_custkey") % 5).cast("int").alias("elements_count"))
+    return graph.build(objects, methods, forms)
+
+
+@query("""with m as (select * from supplier join nation on s_nationkey = n_nationkey)
+select 'metadata:Catalogs:' || n_name source, 'method:Catalogs:' || n_name || ':М:' || s_name target, 'HAS_METHOD' edge_type from m
+union all select 'metadata:Catalogs:' || n_name, 'form:Catalogs:' || n_name || ':' || c_name, 'HAS_FORM' from customer join nation on c_nationkey = n_nationkey
+union all select distinct 'metadata:Catalogs:' || n_name, 'metadata:Catalogs:NATION_' || s_suppkey % 25, 'USES_IN_CODE' from m
+union all select distinct 'metadata:Catalogs:' || n_name, 'metadata:Documents:Д' || s_suppkey % 3, 'USES_IN_CODE' from m
+union all select 'metadata:Catalogs:NATION_0', 'metadata:Templates:' || r_name, 'HAS_TEMPLATE' from region""")
+def graph_built_edges(spark, d):
+    return _built(spark, d)[1].select("source", "target", "edge_type")
+
+
+@query("""select 'metadata:Catalogs:' || n_name id, 'Metadata' node_type, n_name as name, 'Catalogs' object_type, n_name object_name from nation
+union all select 'metadata:Templates:' || r_name, 'Metadata', r_name, 'Templates', r_name from region
+union all select distinct 'metadata:Documents:Д' || s_suppkey % 3, 'Metadata', 'Д' || s_suppkey % 3, 'Documents', 'Д' || s_suppkey % 3 from supplier
+union all select 'method:Catalogs:' || n_name || ':М:' || s_name, 'Method', s_name, 'Catalogs', n_name from supplier join nation on s_nationkey = n_nationkey
+union all select 'form:Catalogs:' || n_name || ':' || c_name, 'Form', c_name, 'Catalogs', n_name from customer join nation on c_nationkey = n_nationkey""")
+def graph_built_nodes(spark, d):
+    return _built(spark, d)[0].select("id", "node_type", "name", "object_type", "object_name")
+
+
 @query(f"select coalesce(node_type, '') kind, count(*) n from ({_NODES}) group by rollup (node_type)")
 def graph_stats_nodes(spark, d):
     return graph.counts(_graph(spark, d)[0], "node_type")
