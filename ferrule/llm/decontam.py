@@ -7,7 +7,8 @@ where the window can lie (positional bound), which must fit in the text (length
 compared exactly, bytes and all.
 
 Items come in blocks of at most ``block_bytes`` of text, each an index of sorted arrays (some 60 bytes a word) that is
-sent to the executors; more items mean more blocks, each a pass over all rows that adds what it finds to them. Rows keep
+sent to the executors and dropped after use; more items mean more blocks, each a pass over all rows that adds what it
+finds to them. Rows keep
 all their columns on the way, so a stage that drops rows needs no join.
 
 Defined results: a null or empty text has no words and is clean; items that are null, without words or without
@@ -94,8 +95,10 @@ class Index:
             at = at[best]
             key = self.grams[g][at]
             by = np.argsort(key, kind="stable")
-            self.prefix[g] = key[by], (at - self.start[w])[by], w[by]
-        self.grams = None  # has done its work; not sent on
+            self.prefix[g] = key[by], (at - self.start[w])[by].astype(np.int32), w[by].astype(np.int32)
+        self.grams = self.tokens = None  # have done their work; not sent on
+        for k in ("s", "e", "start", "size", "own", "owner", "length"):
+            setattr(self, k, getattr(self, k).astype(np.int32))
 
     def words(self, w: int) -> list[bytes]:
         i = int(self.start[w])
@@ -201,7 +204,7 @@ def blocks_of(items: DataFrame, block_bytes: int):
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // max(1, block_bytes // 2)) if size > block_bytes else 1
     for k in range(n):
-        yield [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items).collect()]
+        yield k + 1 == n, [(r.item, r.text) for r in (items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items).collect()]
 
 
 def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -209,8 +212,10 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: in
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "decontam")
-    ready = []
-    for block in blocks_of(items, block_bytes):
+    rows, own, kept = row_of(docs), StructField("row", docs.schema), None
+    found = StructType.fromDDL("items array<string>, spans array<int>").fields
+    # One block's index at a time, here and on the executors.
+    for last, block in blocks_of(items, block_bytes):
         index = Index(block, window, shingle)
         counts = {g: np.zeros(len(v), np.int64) for g, v in index.tokens.items()}
         if len(index.hash):
@@ -219,16 +224,16 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: in
                 counts[r.g][r.token] = r.n
             shared.destroy()
         index.order(counts)
-        ready.append(spark.sparkContext.broadcast(index))
-    rows, own = row_of(docs), StructField("row", docs.schema)
-    found = StructType.fromDDL("items array<string>, spans array<int>").fields
-    for k, index in enumerate(ready):
-        last = k + 1 == len(ready)
+        shared = spark.sparkContext.broadcast(index)
         schema = StructType([own, *(StructType.fromDDL(RESULT).fields if last else found)])
-        rows = rows.mapInArrow(_scan(index, k > 0, last, min_items), schema)
+        rows = rows.mapInArrow(_scan(shared, kept is not None, last, min_items), schema)
         if not last:
-            rows = scratch.keep(rows, "rows")
-    if len(ready) > 1:
+            rows, before = scratch.keep(rows, "rows"), kept
+            kept = rows
+            shared.destroy()
+            if before is not None:
+                scratch.drop(before)
+    if kept is not None:
         scratch.at_exit()
     return rows
 
