@@ -141,9 +141,15 @@ def distance(a, b, metric: str = "cosine") -> Column:
 def toy_embedding(text, dim: int = 16) -> Column:
     """The offline embedder: each character adds to the component of its place; component 0 gains 1."""
     codes = F.transform(F.split(F.coalesce(_c(text), F.lit("")), ""), lambda c: F.when(c == "", 0.0).otherwise((F.ascii(c) % 17) / 17))
-    at = F.transform(codes, lambda v, i: F.struct((i % dim).alias("k"), v.alias("v")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(at, lambda p: p["k"] == k), F.lit(0.0), lambda s, p: s + p["v"]))
-    return F.transform(sums, lambda v, i: (v + F.when(i == 0, 1.0).otherwise(0.0)).cast("float"))
+
+    def sums(v):  # v stands for the codes, which are made once
+        def total(k):
+            places = F.sequence(k, F.size(v) - 1, F.lit(dim))  # each character is met once
+            return F.when(F.size(v) > k, F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(v, i))).otherwise(0.0)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (total(k) + F.when(k == 0, 1.0).otherwise(0.0)).cast("float"))
+
+    return F.get(F.transform(F.array(codes), sums), F.lit(0))
 
 
 def jaccard(a, b) -> Column:
