@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ferrule.llm.common import ALNUM, Scratch, chunks, field, hash_words, mix, prepare, row_of, shingle_hashes
+from ferrule.llm.common import ALNUM, Scratch, chunks, field, hash_words, mix, prepare, row_of, shingle_hashes, tidy
 
 WINDOW, SHINGLE, MIN_ITEMS, BLOCK_BYTES = 8, 4, 2, 8 << 20
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -220,13 +220,13 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: in
         counts = {g: np.zeros(len(v), np.int64) for g, v in index.tokens.items()}
         if len(index.hash):
             shared = spark.sparkContext.broadcast(index)
-            for r in docs.select(F.col("text").cast("string")).mapInArrow(_count(shared), "g int, token int, n long").groupBy("g", "token").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's shingles
+            for r in docs.select(F.col("text").cast("string")).mapInArrow(tidy(_count(shared)), "g int, token int, n long").groupBy("g", "token").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's shingles
                 counts[r.g][r.token] = r.n
             shared.destroy()
         index.order(counts)
         shared = spark.sparkContext.broadcast(index)
         schema = StructType([own, *(StructType.fromDDL(RESULT).fields if last else found)])
-        rows = rows.mapInArrow(_scan(shared, kept is not None, last, min_items), schema)
+        rows = rows.mapInArrow(tidy(_scan(shared, kept is not None, last, min_items)), schema)
         if not last:
             rows, before = scratch.keep(rows, "rows"), kept
             kept = rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Scratch, prepare
+from ferrule.llm.common import Scratch, prepare, tidy
 
 K, SCALE, SAMPLE, BLOCK, GROUP = 20, 64, 4096, 2048, 2048
 NONE = -(1 << 63) + 1  # no score; its negative fits too
@@ -245,7 +245,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     sample_ids = sample.vec_id.to_numpy()[rows]
     p = choose_pivots(x if len(x) else np.zeros((1, dim), np.int64), int(min(max(total**0.5 / 8, PIVOTS[0]), PIVOTS[1])))
     known = spark.sparkContext.broadcast((x, sample_ids))  # at most 2 * SAMPLE vectors
-    blocks = scratch.keep(vectors.mapInArrow(_pack(p, dim, every), BLOCKS), "blocks")
+    blocks = scratch.keep(vectors.mapInArrow(tidy(_pack(p, dim, every)), BLOCKS), "blocks")
     cells = blocks.groupBy("side", "cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # at most 2 * pivots
     data, asked = {r.cell: r for r in cells if r.side == 0}, {r.cell: r for r in cells if r.side == 1}
     scratch.at_exit()
@@ -264,12 +264,12 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     to_query = spark.createDataFrame([(i, home[i], parts[home[i]]) for i in asked], "cell int, g int, parts int")
     sizes = spark.createDataFrame([(j, data[j].n) for j in data], "cell int, of_cell long")
     mine = blocks.where("side = 1").join(F.broadcast(to_query), "cell").withColumn("part", F.pmod(F.xxhash64("block", "ids"), F.col("parts")).cast("int")).drop("parts")
-    need = mine.select("g", "part", "n", "ids", "vectors").mapInArrow(_needs(p, dim, {j: data[j].radius for j in data}, known, k), "g int, part int, cell int").distinct()
+    need = mine.select("g", "part", "n", "ids", "vectors").mapInArrow(tidy(_needs(p, dim, {j: data[j].radius for j in data}, known, k)), "g int, part int, cell int").distinct()
     need = scratch.keep(need, "need")
     slabs = need.join(F.broadcast(sizes), "cell").groupBy("g", "part").agg(F.ceil(F.sum("of_cell") / SLAB).cast("int").alias("slabs"))
     mine = mine.join(slabs, ["g", "part"]).withColumn("slab", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)))
     theirs = blocks.where("side = 0").join(need.join(slabs, ["g", "part"]), "cell").withColumn("slab", F.pmod(F.xxhash64("block", "ids"), F.col("slabs")).cast("int"))
     both = mine.unionByName(theirs).repartition("g", "part", "slab").sortWithinPartitions("g", "part", "slab", F.desc("side"), F.desc("norm"), "ids")
-    found = both.select("g", "part", "slab", "side", "cell", "n", "ids", "vectors", "radius").mapInArrow(_solve(p, dim, known, k), "query_id long, vec_id long, score long")
+    found = both.select("g", "part", "slab", "side", "cell", "n", "ids", "vectors", "radius").mapInArrow(tidy(_solve(p, dim, known, k)), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import SPACED, Scratch, blobs, chunks, components, hash_words, if_small, mix, prepare, row_of, shingle_hashes, summed
+from ferrule.llm.common import SPACED, Scratch, blobs, chunks, components, hash_words, if_small, mix, prepare, row_of, shingle_hashes, summed, tidy
 
 #: Words of a shingle, per cent of similarity, lists beyond the necessary ones (c).
 WORDS, PERCENT, EXTRA = 5, 80, 4
@@ -160,7 +160,7 @@ def wanted_filter(ids: DataFrame) -> np.ndarray:
     found = np.zeros(1 << bits, bool)
     # Each distinct bit once, in slices that hold the bits of one range; no task and no row gathers them all.
     rows = ids.select(place.alias("p")).distinct().select(F.floor(F.col("p") / size).cast("int").alias("slice"), "p")
-    for r in rows.repartition(max(1, (1 << bits) // size), "slice").mapInArrow(_bit_slices(size), "slice int, bits binary").collect():
+    for r in rows.repartition(max(1, (1 << bits) // size), "slice").mapInArrow(tidy(_bit_slices(size)), "slice int, bits binary").collect():
         part = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
         found[r.slice * size : r.slice * size + len(part)] |= part[: max(0, len(found) - r.slice * size)]
     return found
@@ -336,7 +336,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
     rid, th = row_keys()
     docs = docs.withColumns({"rid": rid, "th": th})
     schema = "doc_id long, rid long, th long, n long, k1 long, k2 long, slice int, counts binary"
-    digest = scratch.keep(docs.select("doc_id", "rid", "th", "text").mapInArrow(_digest, schema), "digest")
+    digest = scratch.keep(docs.select("doc_id", "rid", "th", "text").mapInArrow(tidy(_digest), schema), "digest")
     rows = digest.where("slice is null").select("doc_id", "rid", "th", "n", "k1", "k2")
     total = summed(digest.where("slice is not null").select("slice", "counts"), 1 << BITS, 1 << SLICE)
     levels = spark.sparkContext.broadcast(frequency_levels(total))
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         """Lists that a set of this class meets a partner on, at least."""
         return F.least(F.lit(extra), F.ceil(F.floor(F.pow(F.lit(2.0), size / STEP) + 1e-6) * percent / 100))
 
-    entries = docs.select("text").mapInArrow(_short_lists(levels, twins, percent, extra), "place long, key long")
+    entries = docs.select("text").mapInArrow(tidy(_short_lists(levels, twins, percent, extra)), "place long, key long")
     # Each place has an order of its own, so that a set of a large group meets other neighbours in every list. Of equal
     # entries, which lie together, the last one counts.
     by_hash = Window.partitionBy("place").orderBy(F.xxhash64("place", "key"), "key")
@@ -373,7 +373,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         """Adds to need (id, key and others) the set of each row."""
         found = wanted_filter(need.select("id"))
         bits = spark.sparkContext.broadcast(found)
-        sets = docs.select("rid", F.pmod(F.xxhash64("rid"), F.lit(len(found))).alias("p"), "text").mapInArrow(_sets_of(bits, twins), "id long, key long, set binary")
+        sets = docs.select("rid", F.pmod(F.xxhash64("rid"), F.lit(len(found))).alias("p"), "text").mapInArrow(tidy(_sets_of(bits, twins)), "id long, key long, set binary")
         return sets.join(if_small(need), ["id", "key"])
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -388,7 +388,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         scratch.drop(pairs)
         met = with_sets(need).select("grp", "salt", "key", "set")
         met = met.repartition("grp", "salt").sortWithinPartitions("grp", "salt", (F.col("key") != F.col("grp")))
-        out = scratch.keep(met.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+        out = scratch.keep(met.mapInArrow(tidy(_verify(percent)), "a long, b long").distinct(), "links")
         scratch.drop(need)
         return out
 
@@ -433,7 +433,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         scratch.drop(asks, takes, blocks)
         met = with_sets(need).select("block", "salt", "query", "key", "comp", "size", "set")
         met = met.repartition("block", "salt").sortWithinPartitions("block", "salt", "query")
-        out = scratch.keep(met.mapInArrow(_search(percent), "a long, b long").distinct(), "links")
+        out = scratch.keep(met.mapInArrow(tidy(_search(percent)), "a long, b long").distinct(), "links")
         scratch.drop(need)
         return out
 

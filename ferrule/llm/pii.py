@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import prepare
+from ferrule.llm.common import prepare, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -325,4 +325,4 @@ def _scan(batches):
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of plain finds by kind, base_sha256, spans of every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scan), SCHEMA)

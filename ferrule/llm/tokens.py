@@ -14,7 +14,7 @@ the index and one frame. Partitions are cut by range of doc_id, so their starts
 numbers as there are partitions.
 
 Texts are parted at spaces and line feeds, which the tokenizer drops, and each distinct part is encoded once and
-kept in a bounded memo: plain parts piece by piece with the library's model, others with its whole pipeline.
+kept in a bounded memo if it is short: plain parts piece by piece with the library's model, others with its whole pipeline.
 For another tokenizer, ``split=False`` gives it whole texts.
 
 Defined results: a null text is empty and has the end id alone; null doc_ids come first; rows with equal doc_id
@@ -38,9 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Scratch, prepare
+from ferrule.llm.common import Scratch, prepare, tidy
 
-END_ID, SHARD_BYTES, MEMO = 1, 4 << 20, 800_000
+END_ID, SHARD_BYTES, MEMO, LONGEST = 1, 4 << 20, 500_000, 10
 #: Bytes of ids of one partition, about, and of the longest sample.
 PART_BYTES, LONG = 64 << 20, 20_000
 #: Documents, about, that the dictionary is trained on (by hash of the id; at most twice as many) and its size.
@@ -95,13 +95,16 @@ def encode_texts(texts: list[str | None], path: str, split: bool = True, end: in
         group = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 64]]
         if len(memo) > MEMO:
             memo.clear()
-        rest = []
+        rest, once = [], []
         for w in set().union(*group).difference(memo):
+            if len(w) > LONGEST:
+                once.append(w)
             low = w.lower()
             if low.isalpha() and _PLAIN.fullmatch(low):
-                if low not in memo:
-                    memo[low] = piece(low)
-                memo[w] = memo[low]
+                ids = memo.get(low) or piece(low)
+                memo[w] = ids
+                if len(w) <= LONGEST:
+                    memo[low] = ids
             elif "<|" not in w and _PLAIN.fullmatch(w):
                 pieces = _PIECES.findall(low)
                 for p in pieces:
@@ -113,6 +116,8 @@ def encode_texts(texts: list[str | None], path: str, split: bool = True, end: in
         for w, e in zip(rest, tok.encode_batch(rest, add_special_tokens=False), strict=True):
             memo[w] = np.array(e.ids, "<u4").tobytes()
         out += [b"".join(map(memo.__getitem__, words)) + tail for words in group]
+        for w in once:  # long words seldom come again
+            del memo[w]
     return out
 
 
@@ -225,7 +230,7 @@ class TokenSet:
                     rows = [(d, base[p] + s, k, zlib.crc32(plain.decompress(f))) for d, s, k, f in frames_of(index, body, n)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        return self.shards().select("part", "n_docs", "dictionary_sha256", "index", "body").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self.shards().select("part", "n_docs", "dictionary_sha256", "index", "body").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = None, split: bool = True, partitions: int | None = None) -> TokenSet:
@@ -238,7 +243,7 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
         root = scratch.path("set")
         scratch.at_exit()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = scratch.keep(docs.mapInArrow(_encode(path, split), "doc_id long, narrow binary, wide binary"), "ids")
+    ids = scratch.keep(docs.mapInArrow(tidy(_encode(path, split)), "doc_id long, narrow binary, wide binary"), "ids")
     held = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.octet_length("narrow"), F.octet_length("wide"))), F.lit(0)).alias("bytes")).first()
     share = int(1_000_000 * min(1, SAMPLE / max(1, held.n)))
     sample = ids.select("narrow", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h")).where(F.col("h") <= share).where(F.octet_length("narrow").between(1, LONG)).orderBy("h", "narrow").limit(2 * SAMPLE).collect()
@@ -251,6 +256,6 @@ def write_tokens(docs: DataFrame, root: str | None = None, path: str | None = No
     parts = ids.withColumns({"tie": F.xxhash64("narrow", "wide"), "at": F.monotonically_increasing_id()})
     parts = parts.repartitionByRange(n, *order).sortWithinPartitions(*order)
     parts = parts.select(F.spark_partition_id().alias("part"), "doc_id", "narrow", "wide")
-    parts.mapInArrow(_write_shards(dictionary, LEVEL, SHARD_BYTES), SHARD_SCHEMA).write.parquet(f"{root}/shards")
+    parts.mapInArrow(tidy(_write_shards(dictionary, LEVEL, SHARD_BYTES)), SHARD_SCHEMA).write.parquet(f"{root}/shards")
     scratch.drop(ids)
     return TokenSet(spark, root)

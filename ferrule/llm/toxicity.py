@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Scratch, blobs, chunks, hash_words, mix, prepare, summed
+from ferrule.llm.common import Scratch, blobs, chunks, hash_words, mix, prepare, summed, tidy
 from ferrule.llm.langid import LETTERS
 
 SAMPLE, K, BLOCK, COMMON, SMOOTH, PREFIXES = 6000, 40, 128, 24, 0.05, (4, 6)
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
     sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not sums.n:
         return None
-    found = rows.mapInArrow(_sample_terms, "toxic int, doc_id long, terms array<long>, counts array<int>").toArrow().combine_chunks()
+    found = rows.mapInArrow(tidy(_sample_terms), "toxic int, doc_id long, terms array<long>, counts array<int>").toArrow().combine_chunks()
     found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic, ids = (np.asarray(found.column(c)) for c in ("toxic", "doc_id"))
     cuts = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(found.column("terms"))).astype(np.int64))))
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
     del found
     terms = terms.astype(np.int32)
     shared = spark.sparkContext.broadcast(keys)
-    df = summed(docs.select("text").mapInArrow(_document_counts(shared), "slice int, counts binary"), len(keys), SLICE) if len(keys) else np.zeros(0)
+    df = summed(docs.select("text").mapInArrow(tidy(_document_counts(shared)), "slice int, counts binary"), len(keys), SLICE) if len(keys) else np.zeros(0)
     shared.destroy()
     index = Index(keys, df, docs.count())
     bags = [(terms[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -323,7 +323,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence:
         return docs.select("doc_id", *none[: 2 + evidence])
     shared = spark.sparkContext.broadcast(index)
     index.close()
-    return docs.mapInArrow(_judge(shared, evidence), f"doc_id long, score double, predicted int{more}")
+    return docs.mapInArrow(tidy(_judge(shared, evidence)), f"doc_id long, score double, predicted int{more}")
 
 
 def held_out(column: str = "doc_id"):
