@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructField, StructType
 
-from ferrule.llm.common import chunks, field, hash_words, prepare, row_of
+from ferrule.llm.common import chunks, field, hash_words, prepare, row_of, tidy
 
 BITS, SAMPLE, FLOOR, SWITCH = 16, 6000, 4.0, 9.0
 UND = "und"
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     langs, total = sorted(sizes), sum(sizes.values())
     part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / total)) + (sample >= total))
     counts, scripts = np.zeros((2, 1 << BITS, len(langs))), np.zeros((len(langs), len(SCRIPT_NAMES)))
-    rows = part.select("lang", "text").mapInArrow(_learn(langs), "kind int, lang int, feature int, n long")
+    rows = part.select("lang", "text").mapInArrow(tidy(_learn(langs)), "kind int, lang int, feature int, n long")
     for r in rows.groupBy("kind", "lang", "feature").agg(F.sum("n").alias("n")).toLocalIterator():
         if r.kind < 2:
             counts[r.kind, r.feature, r.lang] = r.n
@@ -208,7 +208,7 @@ def _label(model, with_spans):
         for batch in batches:
             n = batch.num_rows
             pred, score, spans = [UND] * n, [0.0] * n, [[] for _ in range(n)]
-            for i, j, buf, offs in chunks(field(batch, "text", pa.string())):
+            for i, j, buf, offs in chunks(field(batch, "text", pa.string()), 2 << 20):
                 first, s, e, *rest = _features(buf, offs)
                 if not len(s):
                     continue
@@ -245,7 +245,7 @@ def identified(docs: DataFrame, model: Model | None, spans: bool = True) -> Data
         none = [F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.expr(f"cast(array() as {SPAN})").alias("spans")]
         return rows.select("row", *none[: 2 + spans])
     schema = StructType([StructField("row", docs.schema), *StructType.fromDDL(more).fields])
-    return rows.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model), spans), schema)
+    return rows.mapInArrow(tidy(_label(docs.sparkSession.sparkContext.broadcast(model), spans)), schema)
 
 
 def identify(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame:

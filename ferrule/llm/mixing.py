@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Scratch
+from ferrule.llm.common import Scratch, row_of
 
 BITS, SAMPLE, STEPS, WRITE_EVERY, TOLERANCE = 13, 5000, 60, 8, 1e-7
 
@@ -144,8 +144,8 @@ def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """The rows of docs as often as their rates say: the whole part, and once more where a hash of the id falls below the rest."""
     times = F.floor("rate") + F.when(F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1_000_000)) < (F.col("rate") - F.floor("rate")) * 1_000_000, 1).otherwise(0)
     times = rates.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), times.cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = row_of(docs).join(times, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_h")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 #: Domains of the labelled table and the weights that the query and the pipeline ask for.
