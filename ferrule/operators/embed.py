@@ -43,6 +43,18 @@ def http(url: str, model: str, timeout: int = 300, batch: int = 100, eos: str =
     return (lambda c: run(T.with_eos(c, eos))) if eos else run
 
 
+def local(model: str, batch: int = 100) -> Callable[[Column], Column]:
+    """A model of the sentence-transformers library, where it is installed; each Python worker loads it once a task."""
+
+    def make():
+        from sentence_transformers import SentenceTransformer
+
+        loaded = SentenceTransformer(model)
+        return lambda texts: [[float(x) for x in v] for v in loaded.encode(texts)]
+
+    return from_function(make, batch)
+
+
 def dimension(model: str, explicit: int = 0) -> int:
     """Explicit; else that of the first known name within the model's; else of the Qwen3 family by scale (2560 unnamed); else 768."""
     low = model.lower().strip()

@@ -82,6 +82,15 @@ def test_embedders(spark):
     assert all(a["model"] == "m" and len(a["input"]) <= 2 for a in seen)
 
 
+def test_local_model(spark, tmp_path):
+    module = tmp_path / "sentence_transformers.py"
+    module.write_text("class SentenceTransformer:\n    def __init__(self, name):\n        self.name = name\n    def encode(self, texts):\n        return [[len(self.name), len(t)] for t in texts]\n")
+    # The real library may be missing: a stand-in goes to the workers.
+    spark.sparkContext.addPyFile(str(module))
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "i int, t string")
+    assert [r.v for r in df.withColumn("v", embed.local("four")(F.col("t"))).orderBy("i").collect()] == [[4.0, 3.0], [4.0, 0.0]]
+
+
 def test_toy_embedding(spark):
     text = "Тест пример 123"
     want = [1.0] + [0.0] * 15
