@@ -33,6 +33,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -469,7 +470,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -
 def one_of_each(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> DataFrame:
     """Of each component of docs the row of smallest doc_id (rows without one come last), with all its columns.
 
-    Rows without words are linked with nothing and stay. Rows that repeat both an id (or null) and a text are one.
+    Rows without words are linked with nothing and stay. Rows that repeat both an id (or null) and a text are one: the
+    smallest, column by column (any of them, where a column has no order).
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     found = classes(docs, scratch, percent, extra)
@@ -479,5 +481,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) ->
     rid, th = row_keys("row.doc_id", "row.text")
     rows = row_of(docs).withColumns({"rid": rid, "th": th})
     # Repeated rows go before the shuffle, task by task; the join finds the rows dealt out as it needs them.
-    rows = rows.groupBy("rid", "th").agg(F.first("row").alias("row"))
+    ordered = not re.search("map<|variant|calendar", docs.schema.simpleString())
+    rows = rows.groupBy("rid", "th").agg((F.min if ordered else F.first)("row").alias("row"))
     return rows.join(stay, ["rid", "th"], "left_semi").select("row.*")

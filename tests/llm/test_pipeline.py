@@ -52,7 +52,7 @@ def test_language_id_drops_letterless_rows_alone(spark, docs, rows, sf_dir):
     assert held(got) == sorted((r for r in rows if r[1] and any(map(str.isalpha, r[1]))), key=str)
 
 
-def test_join_keeps_one_of_each_group(spark, docs, rows, sf_dir):
+def test_join_keeps_one_of_each_group(spark, docs, rows, texts, sf_dir):
     got = held(STAGE["n-gram Jaccard join"](spark, docs, sf_dir))
 
     def shingles(t):
@@ -70,6 +70,7 @@ def test_join_keeps_one_of_each_group(spark, docs, rows, sf_dir):
         want.add(min((r[0] is None, r[0] or 0, r[1] or "") for r in own) if shingles(own[0][1]) else (own[0][0] is None, own[0][0] or 0, own[0][1] or ""))
     assert len(got) == len(want) and {(r[0] is None, r[0] or 0, r[1] or "") for r in got} == want
     assert set(got) <= set(rows)  # whole rows, none put together from two
+    assert [r for r in got if r[:2] == (4, texts[1])] == [min(r for r in rows if r[:2] == (4, texts[1]))]
     # The row without id joins the two beside it.
     assert [r[0] for r in got if r[1] and "extra" in r[1]] == [] and sum(r[0] == 1 for r in got) == 1
 
