@@ -158,12 +158,12 @@ def wanted_filter(ids: DataFrame) -> np.ndarray:
     bits = min(FILTER_MOST, max(16, math.ceil(math.log2(max(1, ids.count()) * FILTER_EACH))))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     size = 1 << SLICE + 3
-    found = np.zeros(1 << bits, bool)
+    found = np.zeros(1 << bits - 3, np.uint8)
     # Each distinct bit once, in slices that hold the bits of one range; no task and no row gathers them all.
     rows = ids.select(place.alias("p")).distinct().select(F.floor(F.col("p") / size).cast("int").alias("slice"), "p")
     for r in rows.repartition(max(1, (1 << bits) // size), "slice").mapInArrow(tidy(_bit_slices(size)), "slice int, bits binary").collect():
-        part = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-        found[r.slice * size : r.slice * size + len(part)] |= part[: max(0, len(found) - r.slice * size)]
+        part = found[r.slice * size // 8 : (r.slice + 1) * size // 8]
+        part |= np.frombuffer(r.bits, np.uint8)[: len(part)]
     return found
 
 
@@ -185,7 +185,8 @@ def _sets_of(wanted, twins):
         bits = wanted.value
         seen: set = set()
         for batch in batches:
-            batch = batch.filter(pa.array(bits[np.asarray(batch.column(1)) & (len(bits) - 1)]))
+            place = np.asarray(batch.column(1))
+            batch = batch.filter(pa.array((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
             if not batch.num_rows:
                 continue
             ids, found = batch.column(0).to_pylist(), []
@@ -374,7 +375,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         """Adds to need (id, key and others) the set of each row."""
         found = wanted_filter(need.select("id"))
         bits = spark.sparkContext.broadcast(found)
-        sets = docs.select("rid", F.pmod(F.xxhash64("rid"), F.lit(len(found))).alias("p"), "text").mapInArrow(tidy(_sets_of(bits, twins)), "id long, key long, set binary")
+        sets = docs.select("rid", F.pmod(F.xxhash64("rid"), F.lit(8 * len(found))).alias("p"), "text").mapInArrow(tidy(_sets_of(bits, twins)), "id long, key long, set binary")
         return sets.join(if_small(need), ["id", "key"])
 
     def tested(pairs: DataFrame) -> DataFrame:
