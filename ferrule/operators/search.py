@@ -135,11 +135,15 @@ def _statistics(sized: DataFrame, terms: list[str], epsilon: float) -> DataFrame
     size_row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("_words").cast("long").alias("size")))
     word_rows = F.transform(F.array_distinct("_words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("size")))
     by_word = sized.select(F.explode(F.concat(size_row, word_rows)).alias("w")).groupBy("w.term").agg(F.count("*").alias("n"), F.sum("w.size").alias("size"))
-    whole = by_word.where("term is null").select(F.col("n").alias("n_docs"), (F.col("size") / F.col("n")).alias("avg_size"))
-    idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    # Words by how many documents have them: few rows, whatever the corpus, beside the row of totals.
+    total = F.col("term").isNull()
     own = [F.max(F.when(F.col("term") == t, F.col("n"))).alias(f"n{i}") for i, t in enumerate(terms)]
-    # One row of totals beside the words.
-    return by_word.crossJoin(F.broadcast(whole)).agg(F.max("n_docs").alias("n_docs"), F.max("avg_size").alias("avg_size"), (F.avg(F.when(F.col("term").isNotNull(), idf)) * epsilon).alias("least"), *own)
+    by_n = by_word.groupBy("n", total.alias("whole")).agg(F.count("*").alias("words"), F.max("size").alias("size"), *own)
+    every = Window.partitionBy()
+    rows = by_n.withColumns({"n_docs": F.max(F.when(F.col("whole"), F.col("n"))).over(every), "avg_size": F.max(F.when(F.col("whole"), F.col("size") / F.col("n"))).over(every)})
+    idf = F.when(~F.col("whole"), F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    mean = F.try_divide(F.sum(idf * F.col("words")), F.sum(F.when(~F.col("whole"), F.col("words"))))
+    return rows.agg(F.max("n_docs").alias("n_docs"), F.max("avg_size").alias("avg_size"), (mean * epsilon).alias("least"), *[F.max(f"n{i}").alias(f"n{i}") for i in range(len(terms))])
 
 
 def bm25(candidates: DataFrame, terms: list[str], key: str = "item_id", document: str = "document", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
