@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import Scratch, prepare, tidy
 
-END_ID, SHARD_BYTES, MEMO, LONGEST = 1, 4 << 20, 500_000, 10
+END_ID, SHARD_BYTES, MEMO, LONGEST = 1, 4 << 20, 800_000, 14
 #: Bytes of ids of one partition, about, and of the longest sample.
 PART_BYTES, LONG = 64 << 20, 20_000
 #: Documents, about, that the dictionary is trained on (by hash of the id; at most twice as many) and its size.
@@ -100,7 +100,7 @@ def encode_texts(texts: list[str | None], path: str, split: bool = True, end: in
             if len(w) > LONGEST:
                 once.append(w)
             low = w.lower()
-            if low.isalpha() and _PLAIN.fullmatch(low):
+            if low.isalpha() and (low.isascii() or _PLAIN.fullmatch(low)):  # ASCII letters are plain
                 ids = memo.get(low) or piece(low)
                 memo[w] = ids
                 if len(w) <= LONGEST:
