@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from ferrule.llm.common import SPACED, Scratch, blobs, chunks, components, hash_
 WORDS, PERCENT, EXTRA = 5, 80, 4
 #: Partners that a set meets in one task at most, about; entries of a list in one place; sets that ask a block in one task.
 FAN, LIST, ASKS = 4096, 4096, 1024
+#: Rows whose sets go out at once, and their part of all sets in per cent: what needs more goes in several passes.
+PART_ROWS, PART_PERCENT = 3 << 18, 50
 #: Shingles of the sets of one block, about; weight of the longest list in dividing short lists from long ones.
 BLOCK, MU = 1 << 20, 0.1
 #: Counters of shingle frequency: 2**BITS in slices of 2**SLICE. Bits of the filter of wanted rows: FILTER_EACH a row, 2**FILTER_MOST at most.
@@ -378,6 +381,27 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         sets = docs.select("rid", F.pmod(F.xxhash64("rid"), F.lit(8 * len(found))).alias("p"), "text").mapInArrow(tidy(_sets_of(bits, twins)), "id long, key long, set binary")
         return sets.join(if_small(need), ["id", "key"])
 
+    everything = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def links_in(need: DataFrame, group: list[str], columns: list[str], order: Column | str, run) -> DataFrame:
+        """Links (a, b) that run finds in the groups of need, whose rows (id, key and others) get their sets.
+
+        A group stays whole, but the groups go out in as many parts as keep the shuffle files small: those of one part
+        are gone before the next one's are written, and a part's rows are few enough to be broadcast.
+        """
+        rows, sent = need.agg(F.count("*"), F.coalesce(F.sum(F.pow(F.lit(2.0), size_of("key") / STEP)), F.lit(0.0))).first()
+        parts = max(1, math.ceil(rows / PART_ROWS), math.ceil(100 * sent / max(1, PART_PERCENT * everything)))
+        found = []
+        for k in range(parts):
+            part = need.where(F.pmod(F.xxhash64(F.lit("part"), *group), F.lit(parts)) == k) if parts > 1 else need
+            met = with_sets(part).select(*group, *columns, "set").repartition(*group).sortWithinPartitions(*group, order)
+            found.append(scratch.keep(met.mapInArrow(tidy(run), "a long, b long").distinct(), "links"))
+        if parts == 1:
+            return found[0]
+        out = scratch.keep(reduce(DataFrame.union, found), "links")
+        scratch.drop(*found)
+        return out
+
     def tested(pairs: DataFrame) -> DataFrame:
         """The pairs of keys (a, b) whose sets are similar enough."""
         ids = one.select("key", "id")
@@ -388,9 +412,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         hubs = dealt.select(F.col("a").alias("key"), F.col("a").alias("grp"), "salt").distinct()
         need = scratch.keep(hubs.union(dealt.select("b", "a", "salt")).join(ids, "key"), "need")
         scratch.drop(pairs)
-        met = with_sets(need).select("grp", "salt", "key", "set")
-        met = met.repartition("grp", "salt").sortWithinPartitions("grp", "salt", (F.col("key") != F.col("grp")))
-        out = scratch.keep(met.mapInArrow(tidy(_verify(percent)), "a long, b long").distinct(), "links")
+        out = links_in(need, ["grp", "salt"], ["key"], F.col("key") != F.col("grp"), _verify(percent))
         scratch.drop(need)
         return out
 
@@ -433,9 +455,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int, extra: int) -> Data
         sent = asks.join(salts, "block").join(blocks.select("key", "comp", "size"), "key").select("key", "block", F.pmod(F.xxhash64("key"), "salts").alias("salt"), F.lit(True).alias("query"), "comp", "size")
         need = scratch.keep(kept.union(sent).join(one.select("key", "id"), "key"), "need")
         scratch.drop(asks, takes, blocks)
-        met = with_sets(need).select("block", "salt", "query", "key", "comp", "size", "set")
-        met = met.repartition("block", "salt").sortWithinPartitions("block", "salt", "query")
-        out = scratch.keep(met.mapInArrow(tidy(_search(percent)), "a long, b long").distinct(), "links")
+        out = links_in(need, ["block", "salt"], ["query", "key", "comp", "size"], "query", _search(percent))
         scratch.drop(need)
         return out
 

@@ -85,6 +85,32 @@ def test_ngram_many_blocks(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in ngram.jaccard_links(df).collect()} == dict(enumerate(comp))
 
 
+def test_ngram_sets_go_out_in_parts(spark, monkeypatch):
+    """However many sets the tests and searches need, few go out at once (on disk), and no link is lost."""
+    sent, whole = [], ngram.wanted_filter
+    monkeypatch.setattr(ngram, "wanted_filter", lambda ids: sent.append(ids.count()) or whole(ids))
+    monkeypatch.setattr(ngram, "FAN", 5)
+    monkeypatch.setattr(ngram, "ASKS", 4)
+    monkeypatch.setattr(ngram, "BLOCK", 1000)
+    r = random.Random(11)
+    rows = []
+    for _ in range(30):
+        base = r.choices([f"w{i}" for i in range(300)], k=60)
+        for _ in range(10):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 3))):
+                w[r.randrange(len(w))] = f"x{r.random()}"
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    _, comp = brute_components(rows)
+    for most, percent in ((100, 1000), (1 << 20, 20)):
+        monkeypatch.setattr(ngram, "PART_ROWS", most, raising=False)
+        monkeypatch.setattr(ngram, "PART_PERCENT", percent, raising=False)
+        sent.clear()
+        assert {x.doc_id: x.component_id for x in ngram.jaccard_links(df).collect()} == dict(enumerate(comp))
+        assert max(sent) < 250 < sum(sent)  # the first round alone needs more
+
+
 def test_ngram_rows_without_id_link(spark):
     r = random.Random(7)
     base = r.choices([f"w{i}" for i in range(500)], k=40)
