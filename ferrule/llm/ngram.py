@@ -48,7 +48,7 @@ WORDS, PERCENT, EXTRA = 5, 80, 4
 #: Partners that a set meets in one task at most, about; entries of a list in one place; sets that ask a block in one task.
 FAN, LIST, ASKS = 4096, 4096, 1024
 #: Rows whose sets go out at once, and their part of all sets in per cent: what needs more goes in several passes.
-PART_ROWS, PART_PERCENT = 3 << 18, 50
+PART_ROWS, PART_PERCENT = 3 << 18, 75
 #: Shingles of the sets of one block, about; weight of the longest list in dividing short lists from long ones.
 BLOCK, MU = 1 << 20, 0.1
 #: Counters of shingle frequency: 2**BITS in slices of 2**SLICE. Bits of the filter of wanted rows: FILTER_EACH a row, 2**FILTER_MOST at most.
