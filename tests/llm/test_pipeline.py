@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from ferrule.llm import langid, mixing, tokens
+from ferrule.llm import langid, mixing, ngram, tokens
 
 WORDS = [a + b for a in ("ba", "ko", "ti", "mu", "se", "la") for b in ("n", "r", "st", "mo", "pe", "lu", "gi")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, items string, rid int, comp int"
@@ -133,3 +133,13 @@ def test_run(spark, sf):
 
 def test_language_model_without_labels(spark, docs):
     assert langid.identified(docs, None, spans=False).where("lang_pred <> 'und'").count() == 0
+
+
+def test_jaccard_stage_sends_sets_in_parts(spark, docs, sf_dir, monkeypatch):
+    """Stage 2 keeps the same rows when few sets may go out at once."""
+    whole = held(STAGE["n-gram Jaccard join"](spark, docs, sf_dir))
+    sent, bits = [], ngram.wanted_filter
+    monkeypatch.setattr(ngram, "wanted_filter", lambda ids: sent.append(ids.count()) or bits(ids))
+    monkeypatch.setattr(ngram, "PART_ROWS", 1, raising=False)
+    assert held(STAGE["n-gram Jaccard join"](spark, docs, sf_dir)) == whole
+    assert len(sent) > 2  # two rounds send all at once otherwise
